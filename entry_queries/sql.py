@@ -53,11 +53,11 @@ reviews AS (
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey)"""
 
 TEXT_REVIEWS = f"""
+lines AS (SELECT *, l_orderkey % (SELECT count(*) FROM documents) AS text_key FROM lineitem),
 texts AS MATERIALIZED (SELECT doc_id, text || '' AS text FROM documents),
 reviews AS (
   SELECT {_REVIEW_COLUMNS}, d.text AS text
-  FROM lineitem JOIN part ON l_partkey = p_partkey
-  JOIN texts d ON d.doc_id = l_orderkey % (SELECT count(*) FROM documents))"""
+  FROM lines JOIN part ON l_partkey = p_partkey JOIN texts d ON d.doc_id = text_key)"""
 
 BASE = """
 base AS (
