@@ -30,4 +30,5 @@ def load() -> None:
     from entry_queries import (  # noqa: F401
         dashboard_q,
         reports_q,
+        text_q,
     )

@@ -73,6 +73,7 @@ if __name__ == "__main__":
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or list(entry.queries())
     spark = build_session("oracle", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
+                                                   "spark.ui.showConsoleProgress": "false",
                                                    "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
     bad = 0
