@@ -29,6 +29,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 def load() -> None:
     from entry_queries import (  # noqa: F401
         dashboard_q,
+        dedup_q,
         io_q,
         profile_q,
         reports_q,
