@@ -33,5 +33,6 @@ def load() -> None:
         io_q,
         profile_q,
         reports_q,
+        sentiment_q,
         text_q,
     )
