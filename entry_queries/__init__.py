@@ -30,6 +30,7 @@ def load() -> None:
     from entry_queries import (  # noqa: F401
         dashboard_q,
         dedup_q,
+        enrich_q,
         io_q,
         profile_q,
         reports_q,
