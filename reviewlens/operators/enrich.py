@@ -68,8 +68,8 @@ def missing_records(books: DataFrame) -> DataFrame:
     return books.where(lacking)
 
 
-def _strategy_keys(title: Column, author: Column, multiple: bool) -> Column:
-    """Array of (rank, strategy, search key) of a normalised title and author."""
+def _strategy_keys(title: Column, authors: Column, multiple: bool) -> Column:
+    """Array of (rank, strategy, search key) of a normalised title and an array of normalised authors."""
     words = F.split(title, " ")
     head = F.array_join(F.slice(words, 1, 3), " ")
 
@@ -78,13 +78,17 @@ def _strategy_keys(title: Column, author: Column, multiple: bool) -> Column:
 
     if not multiple:
         return F.array(entry(1, DEFAULT_STRATEGY, title))
-    keys = F.array(
-        entry(1, STRATEGIES[0], F.when(author.isNotNull(), F.concat(title, F.lit(" | "), author))),
+    with_author = F.transform(authors, lambda a: entry(1, STRATEGIES[0], F.concat(title, F.lit(" | "), a)))
+    without = F.array(
         entry(2, STRATEGIES[1], title),
         entry(3, STRATEGIES[2], F.array_join(F.array_sort(F.array_distinct(words)), " ")),
         entry(4, STRATEGIES[3], F.when(F.length(head) > 5, head)),
     )
-    return F.filter(keys, lambda k: k["search_key"].isNotNull())
+    return F.concat(with_author, F.filter(without, lambda k: k["search_key"].isNotNull()))
+
+
+def _one_author(author: Column) -> Column:
+    return F.filter(F.array(author), lambda a: a.isNotNull())
 
 
 def search_keys(books: DataFrame, multiple: bool = True) -> DataFrame:
@@ -94,7 +98,7 @@ def search_keys(books: DataFrame, multiple: bool = True) -> DataFrame:
             "book_id", search_title(F.col("title_std")).alias("t"), search_author(F.col("authors_std")).alias("a")
         )
         .where(F.col("t") != "")
-        .select("book_id", F.inline(_strategy_keys(F.col("t"), F.col("a"), multiple)))
+        .select("book_id", F.inline(_strategy_keys(F.col("t"), _one_author(F.col("a")), multiple)))
     )
 
 
@@ -123,16 +127,14 @@ def _pages(catalog: DataFrame, multiple: bool, page_size: int | None) -> DataFra
         search_title(F.col("title")).alias("t"),
     ).where(F.col("t") != "")
     authors = F.array_distinct(F.filter(F.transform("author_name", search_author), lambda a: a.isNotNull()))
-    keyed = rows.select("*", F.explode_outer(authors).alias("a")).select(
+    keyed = rows.withColumn("a", F.coalesce(authors, F.array().cast("array<string>"))).select(
         "key", "title", "author_name", *FIELDS, F.inline(_strategy_keys(F.col("t"), F.col("a"), multiple))
     )
-    # Only the author strategy depends on the author; the others would repeat per author.
-    unique = keyed.dropDuplicates(["strategy_rank", "search_key", "key"])
     by_key = ["strategy_rank", "search_key"]
     if page_size is None:
-        page = unique.withColumn("position", F.row_number().over(Window.partitionBy(*by_key).orderBy("key")))
+        page = keyed.withColumn("position", F.row_number().over(Window.partitionBy(*by_key).orderBy("key")))
     else:
-        page = top_per_group(unique, by_key, [F.asc("key")], page_size, "position")
+        page = top_per_group(keyed, by_key, [F.asc("key")], page_size, "position")
     found = F.count(F.lit(1)).over(Window.partitionBy(*by_key)).cast("int")
     return page.withColumn("n_found", found)
 
@@ -150,7 +152,7 @@ def match_scores(
             search_author(F.col("authors_std")).alias("book_author"),
         )
         .where(F.col("t") != "")
-        .select("book_id", "book_title", "book_author", F.inline(_strategy_keys(F.col("t"), F.col("book_author"), multiple)))
+        .select("book_id", "book_title", "book_author", F.inline(_strategy_keys(F.col("t"), _one_author(F.col("book_author")), multiple)))
         .withColumn("_k", F.concat_ws(":", "strategy_rank", "search_key"))
         .drop("search_key", "strategy_rank", "strategy")
     )
