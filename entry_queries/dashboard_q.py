@@ -146,7 +146,8 @@ PROMPTS = f"""{with_(BOOKS, TEXT_REVIEWS)},
 picked AS (
   SELECT title, sentimento, substr(text, 1, 200) AS head,
     row_number() OVER (PARTITION BY title, sentimento ORDER BY abs(compound) DESC NULLS LAST, review_id) AS pos
-  FROM reviews WHERE sentimento IN ('positivo', 'negativo', 'neutro') AND length(trim(text)) > 20),
+  FROM reviews
+  WHERE title IS NOT NULL AND sentimento IN ('positivo', 'negativo', 'neutro') AND length(trim(text)) > 20),
 grouped AS (
   SELECT title, sentimento, count(*) AS total_reviews,
     string_agg('- ' || head || '...', chr(10) || chr(10) ORDER BY pos) FILTER (WHERE pos <= 8) AS body

@@ -88,7 +88,10 @@ s6 AS (SELECT *, {_boosted('v5', 'w3', 0.9)} AS v6 FROM s5),
 s7 AS (SELECT *, CASE WHEN (l3 = 'never' AND l2 IN ('so', 'this')) OR (l3 IS NOT NULL AND l1 IN ('so', 'this')) THEN v6 * 1.25e0
   WHEN l3 = 'without' AND (l2 = 'doubt' OR l1 = 'doubt') THEN v6
   WHEN {_negated('l3')} THEN v6 * -0.74e0 ELSE v6 END AS v7 FROM s6),
-s8 AS (SELECT *, CASE WHEN l1 = 'least' AND NOT coalesce(l2 IN ('at', 'very'), false) THEN v7 * -0.74e0 ELSE v7 END AS v8 FROM s7),
+s7b AS (SELECT *, v7 + CASE WHEN l3 IS NULL THEN 0e0 ELSE
+    CASE WHEN l3 || ' ' || l2 IN ('kind of', 'sort of', 'just enough') THEN -0.293e0 ELSE 0e0 END
+    + CASE WHEN l2 || ' ' || l1 IN ('kind of', 'sort of', 'just enough') THEN -0.293e0 ELSE 0e0 END END AS v7b FROM s7),
+s8 AS (SELECT *, CASE WHEN l1 = 'least' AND NOT coalesce(l2 IN ('at', 'very'), false) THEN v7b * -0.74e0 ELSE v7b END AS v8 FROM s7b),
 s9 AS (SELECT *, v8 * CASE WHEN but_at > 0 AND pos < but_at THEN 0.5e0 WHEN but_at > 0 AND pos > but_at THEN 1.5e0 ELSE 1e0 END
   AS v9 FROM s8),
 sums AS (SELECT doc_id, sum(CAST(round(v9 * 1e9) AS BIGINT))::DOUBLE / 1e9 AS s FROM s9 GROUP BY doc_id),

@@ -25,7 +25,7 @@ EXCLAMATION, MAX_EXCLAMATIONS = 0.292, 4
 QUESTION, MANY_QUESTIONS = 0.18, 0.96
 LABEL_CUT = 0.05
 
-# Published degree words (single words) and negations.
+# Published degree words, degree word pairs and negations.
 INTENSIFIERS = """absolutely amazingly awfully completely considerable considerably decidedly deeply effing enormous
 enormously entirely especially exceptional exceptionally extreme extremely fabulously flipping flippin frackin fracking
 fricking frickin frigging friggin fully greatly hella highly hugely incredible incredibly intensely major majorly more
@@ -34,6 +34,7 @@ unbelievably unusually utter utterly very""".split()
 DAMPENERS = """almost barely hardly kinda kindof kind-of less little marginal marginally occasional occasionally partly
 scarce scarcely slight slightly somewhat sorta sortof sort-of""".split()
 BOOSTERS = {**{w: BOOST for w in INTENSIFIERS}, **{w: -BOOST for w in DAMPENERS}}
+DEGREE_PAIRS = {"kind of": -BOOST, "sort of": -BOOST, "just enough": -BOOST}
 NEGATIONS = """aint arent cannot cant couldnt darent didnt doesnt ain't aren't can't couldn't daren't didn't doesn't dont
 hadnt hasnt havent isnt mightnt mustnt neither don't hadn't hasn't haven't isn't mightn't mustn't neednt needn't never
 none nope nor not nothing nowhere oughtnt shant shouldnt uhuh wasnt werent oughtn't shan't shouldn't uh-uh wasn't
@@ -157,6 +158,10 @@ def score_sentiment(
         ).otherwise(0.0)
         return valence + F.coalesce(shift, F.lit(0.0)) * BOOST_DAMPING[step]
 
+    def pair_degree(first: Column, second: Column) -> Column:
+        pair = F.concat(first, F.lit(" "), second)
+        return F.coalesce(*[F.when(pair == words, F.lit(d)) for words, d in DEGREE_PAIRS.items()], F.lit(0.0))
+
     v = F.col("v")
     scored = (
         hits.withColumn(
@@ -185,6 +190,7 @@ def score_sentiment(
             .when(negated(l3), v * NEGATION)
             .otherwise(v),
         )
+        .withColumn("v", F.when(l3.isNotNull(), v + pair_degree(l3, l2) + pair_degree(l2, l1)).otherwise(v))
         .withColumn("v", F.when((l1 == "least") & ~F.coalesce(l2.isin("at", "very"), F.lit(False)), v * NEGATION).otherwise(v))
         .withColumn(
             "v",
