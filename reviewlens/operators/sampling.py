@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reviewlens.operators.lookup import salted_lookup
 
-BUCKET_BITS = 20  # at most 2^20 hash buckets are counted for an unstratified draw
+BUCKET_BITS = 16  # an unstratified draw counts 65,536 hash buckets and ranks the narrow rows of one of them
+MAX_STRATUM_BITS = 20
 ROWS_PER_BUCKET = 100_000  # stratified draws take as many buckets as keep a bucket near this size
 
 
@@ -118,7 +119,7 @@ def row_total(df: DataFrame) -> int:
 def _take_quotas(df: DataFrame, column: str, quotas: DataFrame, keys: list[str], seed: int) -> DataFrame:
     """The ``quota`` rows with the smallest hash in every stratum, by the same cut-off idea as take_sample."""
     bits = F.least(
-        F.lit(BUCKET_BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.col("rows") / F.lit(ROWS_PER_BUCKET))))
+        F.lit(MAX_STRATUM_BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.col("rows") / F.lit(ROWS_PER_BUCKET))))
     ).cast("int")
     strata = quotas.where(F.col("quota") > 0).withColumn("bits", bits)
     narrow = df.select(F.col(column).alias("stratum"), *keys).withColumn("h", _hash(keys, seed))

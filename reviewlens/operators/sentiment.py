@@ -24,6 +24,7 @@ BEFORE_BUT, AFTER_BUT = 0.5, 1.5
 EXCLAMATION, MAX_EXCLAMATIONS = 0.292, 4
 QUESTION, MANY_QUESTIONS = 0.18, 0.96
 LABEL_CUT = 0.05
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 # Published degree words, degree word pairs and negations.
 INTENSIFIERS = """absolutely amazingly awfully completely considerable considerably decidedly deeply effing enormous
@@ -56,7 +57,7 @@ def _words(body: Column) -> Column:
     """Whitespace tokens; punctuation is cut from both ends of words that keep more than two characters."""
 
     def bare(token: Column) -> Column:
-        cut = F.regexp_replace(token, r"^\p{Punct}+|\p{Punct}+$", "")
+        cut = F.btrim(token, F.lit(PUNCTUATION))
         return F.when(F.length(cut) > 2, cut).otherwise(token)
 
     return F.transform(F.filter(F.split(body, r"\s+"), lambda w: w != ""), bare)
