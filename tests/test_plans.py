@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import subprocess
+import sys
+
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 import oracle
+from reviewlens.operators import enrich, similarity
 from reviewlens.operators.dedup import dedup_by_key
 from reviewlens.operators.sampling import take_sample
 from reviewlens.plans import reports as R
@@ -61,3 +67,12 @@ def test_scan_reads_only_what_is_used_and_pushes_filters(spark):
     assert "EqualTo(lang,en)" in plan and "text:string" not in plan
     plan = plan_of(R.best_books(books(spark, SF), reviews(spark, SF)))
     assert "l_shipdate" not in plan and "l_extendedprice" not in plan
+
+
+def test_worker_functions_need_no_package_on_the_executors(tmp_path):
+    payload = tmp_path / "fn.pkl"
+    payload.write_bytes(cloudpickle.dumps((enrich._ratio, similarity._dense)))
+    code = f"import pickle; f, _ = pickle.loads(open({str(payload)!r}, 'rb').read()); print(f('abcd', 'bcde'))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=60)
+    assert done.stdout.strip() == "0.75", done.stderr
