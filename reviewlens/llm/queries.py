@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reviewlens.llm.common import table
-from reviewlens.llm import simhash
+from reviewlens.llm import quality, secrets, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,39 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {"op2_simhash": op2_simhash}
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+    parts = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    base = F.filter("spans", lambda x: x["kind"].isin(*secrets.BASE_KINDS))
+    return found.select(
+        "doc_id", *[count(k).alias(f"n_{k}") for k in secrets.BASE_KINDS],
+        F.sha2(parts(base).cast("binary"), 256).alias("base_sha256"), parts(F.col("spans")).alias("spans"),
+    )
+
+
+def op7_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
+    )
+    placed = sharding.split_by_bytes(docs, shards=8)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.apply_rules(docs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+QUERIES: dict[str, Query] = {
+    "op2_simhash": op2_simhash,
+    "op4_secrets": op4_secrets,
+    "op7_histogram_shards": op7_histogram_shards,
+    "op8_quality_rules": op8_quality_rules,
+}
 
 ORACLES: dict[str, str] = {}
