@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reviewlens.llm.common import table
-from reviewlens.llm import chat, quality, secrets, sharding, simhash, warc
+from reviewlens.llm.common import held_out, table
+from reviewlens.llm import chat, langid, quality, secrets, sharding, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +57,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"))
+    languages, weights = langid.learn(langid.training_rows(docs.select("doc_id", "text", "lang"), out))
+    found = langid.predict(docs.select("doc_id", "text"), languages, weights)
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Query] = {
     "op2_simhash": op2_simhash,
     "op4_secrets": op4_secrets,
@@ -64,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "op6_warc": op6_warc,
     "op7_histogram_shards": op7_histogram_shards,
     "op8_quality_rules": op8_quality_rules,
+    "op10_gru_language": op10_gru_language,
 }
 
 ORACLES: dict[str, str] = {}
