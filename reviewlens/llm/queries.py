@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reviewlens.llm.common import held_out, table
-from reviewlens.llm import chat, langid, quality, secrets, sharding, simhash, warc
+from reviewlens.llm import chat, langid, quality, secrets, sharding, simhash, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,17 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = held_out(F.col("doc_id"))
+    model = toxicity.learn(docs.where(~out), table(spark, sf_dir, "labels").where(~out).select("doc_id", "toxic"))
+    scored = toxicity.score_documents(docs, model)
+    return scored.select(
+        "doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s[0], s[1])), ",").alias("spans"),
+    )
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
@@ -67,6 +78,7 @@ def op10_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_simhash": op2_simhash,
+    "op3_toxicity": op3_toxicity,
     "op4_secrets": op4_secrets,
     "op5_chat": op5_chat,
     "op6_warc": op6_warc,

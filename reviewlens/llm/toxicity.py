@@ -1,11 +1,11 @@
 """Toxic spans by a linear-chain conditional random field over the words of a sentence.
 
 Labels say which documents are toxic, not which words. Token labels come first: features (words and their beginnings)
-that occur in toxic documents and hardly in clean ones are chosen greedily, each for the documents that those before have
-not explained; a word of a toxic document with a chosen feature is labelled toxic. Near copies in the sample count once,
-or every word of a copied document would look toxic. The field then learns weights of words, beginnings and endings, and
+that hardly occur in clean documents, and in more toxic ones than chance explains, are telling; a word of a toxic
+document with a telling feature is labelled toxic. Near copies in the sample count once, or every word of a copied
+document would look toxic. The field then learns weights of words, beginnings and endings, and
 of the transitions. Forward and backward messages of two states are one log-ratio each, so all sentences of a batch
-advance together. A document's score is a logistic function of its highest marginal and of the sum of its marginals;
+advance together. A document's score is a logistic function of its highest marginal, the sum of its marginals and their share of its words;
 the spans are runs of words that are toxic with a probability of at least a half.
 
 Nulls and ties: a null text is empty and has the lowest score; rows without label or text are not learnt from; of several
@@ -15,21 +15,22 @@ is 0. Extra columns are not read. Whole texts are scored; only the sample for le
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from math import exp, lgamma, log, log1p
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-SAMPLE = {1: 1500, 0: 3000}  # rows learnt from per label
+SAMPLE = {1: 1200, 0: 2000}  # rows learnt from per label
 SAMPLE_CHARS = 50_000  # longer texts are not learnt from
-LEAST_GAIN = 2  # documents that a feature must newly explain
-PENALTY = 5  # documents explained that one clean document with the feature costs
-ITERATIONS, RATE, DECAY = 150, 0.3, 1e-5
+PRECISION = 0.85  # share of toxic ones among the sampled documents with a telling feature
+LEVEL = 0.5  # misleading features expected among all of a frequency
+ITERATIONS, RATE, DECAY = 60, 0.5, 1e-5
+PLAIN = 4  # one in so many sentences without a telling word is learnt from
 CACHE = 1 << 18  # words a task remembers
 TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]")
 STOPS = frozenset(".!?\n")
@@ -48,7 +49,10 @@ class Field:
     bias: float = 0.0
     start: float = 0.0
     moves: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
-    score: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    score: tuple[float, ...] = ()
+
+    def emission(self, names: list[str]) -> float:
+        return self.bias + sum(self.weights.get(n, 0.0) for n in names)
 
 
 # ---- messages -------------------------------------------------------------------------------------------------------
@@ -115,7 +119,7 @@ def sentences(text: str) -> list[list[str]]:
 
 
 def without_copies(docs: list[list[list[str]]]) -> list[list[list[str]]]:
-    """Leaves out documents that share two of four least word triples with one before."""
+    """Leaves out documents that share two of eight least word triples with one before."""
     import xxhash
 
     seen: set[tuple[int, int]] = set()
@@ -123,70 +127,73 @@ def without_copies(docs: list[list[list[str]]]) -> list[list[list[str]]]:
     for doc in docs:
         words = [w for s in doc for w in s]
         triples = {" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
-        least = {(k, min(xxhash.xxh64_intdigest(t, k) for t in triples)) for k in range(4)}
+        least = {(k, min(xxhash.xxh64_intdigest(t, k) for t in triples)) for k in range(8)}
         if len(least & seen) < 2:
             kept.append(doc)
         seen |= least
     return kept
 
 
-def explaining_features(toxic: list[list[list[str]]], clean: list[list[list[str]]]) -> set[str]:
-    """Features chosen greedily until no further one explains enough toxic documents."""
-    in_toxic: dict[str, set[int]] = defaultdict(set)
-    for i, doc in enumerate(toxic):
-        for word in {w for s in doc for w in s}:
-            for name in features(word)[:-1]:
-                in_toxic[name].add(i)
-    cost: dict[str, int] = defaultdict(int)
+def chance(t: int, c: int, p: float) -> float:
+    """Logarithm of the chance that of t + c draws with probability p at least t succeed."""
+    n = t + c
+    terms = [lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * log(p) + (n - k) * log1p(-p) for k in range(t, n + 1)]
+    top = max(terms)
+    return top + log(sum(exp(x - top) for x in terms))
+
+
+def telling_features(toxic: list[list[list[str]]], clean: list[list[list[str]]]) -> set[str]:
+    """Features that hardly occur in clean documents, and in more toxic ones than chance explains.
+
+    The level is shared among all features tried, as each is one more chance to be misled.
+    """
+    seen: tuple[dict[str, int], dict[str, int]] = (defaultdict(int), defaultdict(int))
+    for doc in toxic:
+        for name in {n for w in {w for s in doc for w in s} for n in features(w)[:-1]}:
+            seen[1][name] += 1
     for doc in clean:
-        for name in {n for w in {w for s in doc for w in s} for n in features(w)[:-1]} & in_toxic.keys():
-            cost[name] += PENALTY
-    queue = [(-(len(ids) - cost[n]), -len(n), n) for n, ids in in_toxic.items() if len(ids) - cost[n] >= LEAST_GAIN]
-    heapq.heapify(queue)
-    open_, chosen = set(range(len(toxic))), set()
-    while queue and open_:
-        gain, size, name = heapq.heappop(queue)
-        now = len(in_toxic[name] & open_) - cost[name]
-        if now < LEAST_GAIN:
-            continue
-        if queue and (-now, size, name) > queue[0]:
-            heapq.heappush(queue, (-now, size, name))
-            continue
-        chosen.add(name)
-        open_ -= in_toxic[name]
-    return chosen
+        for name in {n for w in {w for s in doc for w in s} for n in features(w)[:-1] if n in seen[1]}:
+            seen[0][name] += 1
+    share = len(toxic) / (len(toxic) + len(clean))
+    total = {name: t + seen[0].get(name, 0) for name, t in seen[1].items()}
+    sizes = np.sort(np.array(list(total.values())))
+    rivals = {n: len(sizes) - int(np.searchsorted(sizes, n)) for n in set(total.values())}  # features as frequent or more
+    return {
+        name for name, t in seen[1].items()
+        if t >= PRECISION * total[name] and chance(t, total[name] - t, share) <= log(LEVEL / rivals[total[name]])
+    }
 
 
 def fit(toxic: list[list[list[str]]], clean: list[list[list[str]]]) -> Field:
     """Field and document score from tokenised documents."""
     toxic = without_copies(toxic)
-    chosen = explaining_features(toxic, clean)
+    chosen = telling_features(toxic, clean)
     docs = [(d, 1) for d in toxic] + [(d, 0) for d in clean]
-    # Features seen in labelled-toxic words matter, and those of equally many other words for contrast.
+    known: dict[str, bool] = {}
+    for doc, _ in docs:
+        for word in {w for s in doc for w in s} - known.keys():
+            known[word] = not chosen.isdisjoint(features(word))
+    # The field has the features of telling words; all other words differ in nothing.
     names: dict[str, int] = {}
-    rows, labels, lengths, doc_of = [], [], [], []
-    known: dict[str, tuple[list[str], bool]] = {}
-    for i, (doc, y) in enumerate(docs):
-        for s in doc:
-            lengths.append(len(s))
-            for word in s:
-                if word not in known:
-                    fs = features(word)
-                    known[word] = fs, not chosen.isdisjoint(fs)
-                fs, bad = known[word]
-                labels.append(int(bad and y))
-                rows.append(word)
-                doc_of.append(i)
-    for word, (fs, bad) in known.items():
+    for word, bad in known.items():
         if bad:
-            for name in fs:
+            for name in features(word):
                 names.setdefault(name, len(names))
-    ids = {w: [names[n] for n in fs if n in names] for w, (fs, _) in known.items()}
-    counts = np.array([len(ids[w]) for w in rows])
+    rows, labels, lengths, plain = [], [], [], 0
+    for doc, y in docs:
+        for s in doc:
+            told = [known[w] for w in s]
+            plain += not any(told)
+            if any(told) or plain % PLAIN == 0:
+                lengths.append(len(s))
+                rows += s
+                labels += [int(bad and y) for bad in told]
+    ids = {w: [names[n] for n in features(w) if n in names] for w in set(rows)}
+    counts = np.array([len(ids[w]) for w in rows], np.int64)
     feature = np.fromiter((k for w in rows for k in ids[w]), np.int64, int(counts.sum()))
     token = np.repeat(np.arange(len(rows)), counts)
     y = np.array(labels, float)
-    lengths_ = np.array(lengths)
+    lengths_ = np.array(lengths, np.int64)
     starts = np.cumsum(lengths_) - lengths_
     first = np.zeros(len(rows), bool)
     first[starts] = True
@@ -195,7 +202,7 @@ def fit(toxic: list[list[list[str]]], clean: list[list[list[str]]]) -> Field:
     w, bias, start, moves = np.zeros(len(names)), -4.0, 0.0, np.zeros((2, 2))
     memory = [np.zeros(len(names)), 0.0, 0.0, np.zeros((2, 2))]
     n = max(1.0, y.sum())
-    for _ in range(ITERATIONS):
+    for _ in range(ITERATIONS if names else 0):
         e = bias + np.bincount(token, w[feature], len(rows))
         f, b = messages(e, starts, lengths_, start, moves)
         gap = y - sigmoid(f + b)
@@ -206,29 +213,33 @@ def fit(toxic: list[list[list[str]]], clean: list[list[list[str]]]) -> Field:
         # Adaptive steps: rare features move as far as frequent ones.
         memory = [m + g * g for m, g in zip(memory, grads)]
         w, bias, start, moves = (x + RATE * g / (np.sqrt(m) + 1e-6) for x, g, m in zip((w, bias, start, moves), grads, memory))
-        moves -= moves[0, 0]
+        moves = moves - moves[0, 0]
     out = Field({name: float(w[k]) for name, k in names.items()}, float(bias), float(start), moves)
-    e = bias + np.bincount(token, w[feature], len(rows))
-    p = marginals(e, starts, lengths_, start, moves)
-    peak, mass = pooled(p, np.array(doc_of, np.int64), len(docs))
-    out.score = logistic(peak, mass, np.array([y for _, y in docs], float))
+    cache = {word: out.emission(features(word)) for word in known}
+    e = np.array([cache[w] for d, _ in docs for s in d for w in s])
+    all_lengths = np.array([len(s) for d, _ in docs for s in d], np.int64)
+    doc_of = np.repeat(np.arange(len(docs)), [sum(map(len, d)) for d, _ in docs])
+    p = marginals(e, np.cumsum(all_lengths) - all_lengths, all_lengths, out.start, out.moves)
+    out.score = logistic(pooled(p, doc_of, len(docs)), np.array([y for _, y in docs], float))
     return out
 
 
-def pooled(p: np.ndarray, doc_of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per document the logit of the highest marginal and the logarithm of 1 + the sum of marginals of a tenth or more."""
+def pooled(p: np.ndarray, doc_of: np.ndarray, n: int) -> np.ndarray:
+    """Per document a constant, the logit of the highest marginal, the sum of marginals of a tenth or more, and its share."""
     top = np.full(n, 1e-6)
     np.maximum.at(top, doc_of, np.clip(p, 1e-6, 1 - 1e-6))
-    return np.log(top / (1 - top)), np.log1p(np.bincount(doc_of, np.where(p >= 0.1, p, 0), n))
+    mass = np.bincount(doc_of, np.where(p >= 0.1, p, 0), n)
+    words = np.bincount(doc_of, minlength=n)
+    return np.c_[np.ones(n), np.log(top / (1 - top)) / 10, np.log1p(mass), np.log(mass / (words + 20) + 1e-3)]
 
 
-def logistic(peak: np.ndarray, mass: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    x = np.c_[np.ones(len(y)), peak / 10, mass]
-    w = np.zeros(3)
+def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """Weights of a logistic regression with a weak prior, by Newton steps."""
+    w = np.zeros(x.shape[1])
     for _ in range(50):
         p = sigmoid(x @ w)
-        h = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(3)
-        w += np.linalg.solve(h, x.T @ (y - p) - 0.05 * w)
+        h = (x * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(len(w))
+        w += np.linalg.solve(h, x.T @ (y - p) - 0.01 * w)
     return tuple(float(v) for v in w)
 
 
@@ -272,7 +283,7 @@ def score_batch(model: Field, texts: list[str], cache: dict[str, float]) -> tupl
                 continue
             value = cache.get(token)
             if value is None:
-                value = cache[token] = model.bias + sum(model.weights.get(n, 0.0) for n in features(token))
+                value = cache[token] = model.emission(features(token))
             e.append(value)
         if len(e) > run:
             lengths.append(len(e) - run)
@@ -281,8 +292,7 @@ def score_batch(model: Field, texts: list[str], cache: dict[str, float]) -> tupl
     owner = np.repeat(np.arange(len(texts)), doc_of)
     lengths_ = np.array(lengths, np.int64)
     p = marginals(np.array(e), np.cumsum(lengths_) - lengths_, lengths_, model.start, model.moves)
-    peak, mass = pooled(p, owner, len(texts))
-    scores = sigmoid(model.score[0] + model.score[1] * peak / 10 + model.score[2] * mass)
+    scores = sigmoid(pooled(p, owner, len(texts)) @ np.array(model.score))
     spans: list[list[list[int]]] = [[] for _ in texts]
     for i in np.unique(owner[p >= 0.5]):
         # Offsets are looked up only in texts that have a toxic word. Lower-casing may lengthen a text: fold per match.
