@@ -2,18 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reviewlens.llm import simhash
-from reviewlens.llm.common import stage, table
+from reviewlens.llm import decontaminate, langid, mixing, sharding, simhash
+from reviewlens.llm.common import held_out, stage, table
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter or without a clear language go."""
+    learnt = langid.learn(langid.training_rows(docs.select("doc_id", "text", "lang"), held_out(F.col("doc_id"))))
+    return langid.keep_readable(docs, *learnt)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.keep_one(docs)
+    """One document of each group of similar texts stays: five-word shingles, similarity 0.8 or more."""
+    return simhash.keep_one(docs, words=5, similarity=0.8)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that repeat a benchmark item, with its own values or others, go."""
+    return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def source_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are mixed by temperature: every document at least once, those of small sources up to twice."""
+    rows, _ = mixing.mix(docs, max_repeat=2.0)
+    return rows.select(*docs.columns)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Eight shards of nearly equal bytes, with a place in the shard for every row."""
+    return sharding.split_by_bytes(docs, shards=8)
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_leaks", benchmark_leaks),
+    ("source_weights", source_weights),
+    ("shards", shards),
+]
 
 #: A trained network and iterated searches have no SQL form; tests compare every stage with a brute-force version.
 ORACLE_SQL = None

@@ -25,11 +25,12 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` less the columns that an operator is about to add: its own columns replace others of the same name."""
+    return df.drop(*names)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: recovery never goes further back than here."""
     shared_dir(df.sparkSession)
     return cut_lineage(df)
-
-
-def salt(column: Column, n: int) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")

@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from reviewlens.llm.common import without
+
 UNKNOWN = "und"
 SAMPLE_DOCS = 400  # rows learnt from per language
 SAMPLE_WORDS = 6000  # distinct words learnt from per language, the most frequent of the sample
@@ -29,6 +31,7 @@ WIDTH = 16  # units per direction
 PIECE = 24  # bytes read without a break
 EPOCHS, BATCH, RATE = 8, 256, 0.01
 CACHE = 1 << 18  # words a task remembers
+LEAST_SCORE = 0.5  # below it a document has no clear language
 LETTER = re.compile(r"[^\W\d_]")
 Weights = dict[str, np.ndarray]
 
@@ -219,14 +222,15 @@ class Labeller:
         return out
 
 
-def predict(docs: DataFrame, languages: list[str], weights: Weights, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` of every row, with lang_pred and score.
+def predict(docs: DataFrame, languages: list[str], weights: Weights) -> DataFrame:
+    """Every row of ``docs`` without its text, with lang_pred and score.
 
-    ``score`` is the share of the language when positions count as much as one word does together.
+    Columns of these names are replaced. ``score`` is the share of the language when positions count as much as one word does together.
     """
     from pyspark.sql.types import DoubleType, StringType, StructType
 
-    kept = [f for f in docs.schema.fields if f.name in keep]
+    docs = without(docs, "lang_pred", "score")
+    kept = [f for f in docs.schema.fields if f.name != "text"]
     schema = StructType([*kept]).add("lang_pred", StringType()).add("score", DoubleType())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +257,18 @@ def predict(docs: DataFrame, languages: list[str], weights: Weights, keep: tuple
             yield pa.record_batch(
                 [*[batch.column(f.name) for f in kept], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
-    return docs.select(*dict.fromkeys([*[f.name for f in kept], "text"])).mapInArrow(work, schema)
+    return docs.mapInArrow(work, schema)
+
+
+def keep_readable(docs: DataFrame, languages: list[str], weights: Weights, least: float = LEAST_SCORE) -> DataFrame:
+    """``docs`` less the rows without a language and those whose best language has a score below ``least``.
+
+    The text is carried once and comes back whole; column names that start with _l_ are reserved.
+    """
+    named = docs.select(F.struct(*docs.columns).alias("_l_row"), "text")
+    found = predict(named.select(F.col("_l_row"), "text"), languages, weights)
+    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return kept.select("_l_row.*")
 
 
 def training_rows(docs: DataFrame, held_out: Column) -> DataFrame:

@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reviewlens.llm.common import held_out, table
-from reviewlens.llm import chat, langid, quality, secrets, sharding, simhash, toxicity, warc
+from reviewlens.llm import chat, decontaminate, langid, mixing, quality, secrets, sharding, simhash, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, plan = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return rows.select("doc_id", "source", "epoch", "block", "mix_key")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -68,6 +73,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "words", "share", "same_values")
+
+
 def op10_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = held_out(F.col("doc_id"))
@@ -77,6 +87,7 @@ def op10_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_temperature_mix": op1_temperature_mix,
     "op2_simhash": op2_simhash,
     "op3_toxicity": op3_toxicity,
     "op4_secrets": op4_secrets,
@@ -84,6 +95,7 @@ QUERIES: dict[str, Query] = {
     "op6_warc": op6_warc,
     "op7_histogram_shards": op7_histogram_shards,
     "op8_quality_rules": op8_quality_rules,
+    "op9_templates": op9_templates,
     "op10_gru_language": op10_gru_language,
 }
 

@@ -7,7 +7,8 @@ two hashes, so equal texts stay in one shard; only where one hash alone outweigh
 Then the rows move once.
 
 Nulls and ties: a null text counts as empty, a null id sorts first. Rows that agree in text and id cannot be told apart
-and stay together. An empty table gives an empty result. Other columns travel along; shard, slot and size must be free.
+and stay together. An empty table gives an empty result. Other columns travel along; columns named size,
+shard or slot are replaced, and names that start with _s_ are reserved.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from reviewlens.llm.common import stage
+from reviewlens.llm.common import stage, without
 
 PROBES = 12  # probes per open boundary and round
 TOLERANCE = 0.002  # bytes off the exact boundary, as a share of one shard
@@ -42,16 +43,16 @@ def size(text: Column) -> Column:
 
 def order_key(text: Column, doc_id: Column) -> dict[str, Column]:
     return {
-        "_hash": F.xxhash64(F.coalesce(text, F.lit(""))),
-        "_tie": F.coalesce(doc_id.cast("long"), F.lit(LOW)),
+        "_s_hash": F.xxhash64(F.coalesce(text, F.lit(""))),
+        "_s_tie": F.coalesce(doc_id.cast("long"), F.lit(LOW)),
     }
 
 
 def _below(hash_: int, tie: int) -> Column:
     """Rows strictly below a key."""
     if tie == LOW:
-        return F.col("_hash") < hash_
-    return (F.col("_hash") < hash_) | ((F.col("_hash") == hash_) & (F.col("_tie") < tie))
+        return F.col("_s_hash") < hash_
+    return (F.col("_s_hash") < hash_) | ((F.col("_s_hash") == hash_) & (F.col("_s_tie") < tie))
 
 
 def _between(a: int, b: int, n: int) -> list[int]:
@@ -70,8 +71,8 @@ def histogram(keys: DataFrame, probes: list[Key]) -> list[tuple[int, Key | None,
         mid = (a + b) // 2
         return F.when(_below(*probes[mid]), tree(a, mid)).otherwise(tree(mid + 1, b))
 
-    key = F.struct("_hash", "_tie")
-    rows = keys.groupBy(tree(0, len(probes)).alias("gap")).agg(F.sum("_size"), F.min(key), F.max(key)).collect()
+    key = F.struct("_s_hash", "_s_tie")
+    rows = keys.groupBy(tree(0, len(probes)).alias("gap")).agg(F.sum("_s_size"), F.min(key), F.max(key)).collect()
     found = {r[0]: (r[1], tuple(r[2]), tuple(r[3])) for r in rows}
     return [found.get(k, (0, None, None)) for k in range(len(probes) + 1)]
 
@@ -87,7 +88,7 @@ def splitters(keys: DataFrame, shards: int, tolerance: float = TOLERANCE, probes
 
     The bytes below a boundary differ from the exact share by the tolerance at most, or by less than those of one key.
     """
-    total = keys.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
+    total = keys.agg(F.coalesce(F.sum("_s_size"), F.lit(0))).first()[0]
     slack = int(total / shards * tolerance)
     chosen: list[Key] = [(LOW, LOW)] * (shards - 1)
     open_ = {k: Bracket((LOW, LOW), (HIGH, HIGH)) for k in range(shards - 1)} if total else {}
@@ -123,21 +124,22 @@ def split_by_bytes(docs: DataFrame, shards: int = 8, tolerance: float = TOLERANC
     Slots are numbered in parts of a shard that are small enough for one task; the counts of the parts before give each
     its offset. The rows move once, to their part.
     """
-    keyed = docs.withColumns({**order_key(F.col("text"), F.col("doc_id")), "_size": size(F.col("text"))})
-    keys = stage(keyed.select("_hash", "_tie", "_size"))
+    docs = without(docs, "size", "shard", "slot")
+    keyed = docs.withColumns({**order_key(F.col("text"), F.col("doc_id")), "_s_size": size(F.col("text"))})
+    keys = stage(keyed.select("_s_hash", "_s_tie", "_s_size"))
     bounds = splitters(keys, shards, tolerance)
     shard = shard_of(bounds)
     parts = max(1, -(-keys.count() // (shards * SLOT_ROWS)))
-    part = F.pmod(F.xxhash64("_hash", "_tie"), F.lit(parts)).cast("int")
-    before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    part = F.pmod(F.xxhash64("_s_hash", "_s_tie"), F.lit(parts)).cast("int")
+    before = Window.partitionBy("shard").orderBy("_s_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        keys.select(shard.alias("shard"), part.alias("_part")).groupBy("shard", "_part").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+        keys.select(shard.alias("shard"), part.alias("_s_part")).groupBy("shard", "_s_part").agg(F.count(F.lit(1)).alias("_s_n"))
+        .withColumn("_s_offset", F.coalesce(F.sum("_s_n").over(before), F.lit(0))).drop("_s_n")
     )
-    placed = keyed.withColumns({"shard": shard, "_part": part})
-    within = Window.partitionBy("shard", "_part").orderBy("_hash", "_tie")
-    numbered = placed.withColumn("_rank", F.row_number().over(within) - 1)
-    out = numbered.join(offsets, ["shard", "_part"])
+    placed = keyed.withColumns({"shard": shard, "_s_part": part})
+    within = Window.partitionBy("shard", "_s_part").orderBy("_s_hash", "_s_tie")
+    numbered = placed.withColumn("_s_rank", F.row_number().over(within) - 1)
+    out = numbered.join(offsets, ["shard", "_s_part"])
     return out.select(
-        *docs.columns, F.col("_size").alias("size"), "shard", (F.col("_offset") + F.col("_rank")).cast("long").alias("slot")
+        *docs.columns, F.col("_s_size").alias("size"), "shard", (F.col("_s_offset") + F.col("_s_rank")).cast("long").alias("slot")
     )

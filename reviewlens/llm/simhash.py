@@ -297,14 +297,15 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
     """``docs`` with one row of every group of similar texts: that with the least doc_id (nulls last).
 
     Texts with equal shingle sets are one group. Blank and null texts are copies of each other only if equal in words,
-    that is, all blank ones are one group. Of rows that tie on the id, one stays.
+    that is, all blank ones are one group. Of rows that tie on the id, one stays. Column names that start with _k_ are
+    reserved.
     """
     rows, groups = similar_groups(docs, words, similarity)
     nodes = rows.select("doc_id", "_text", "_node").join(groups.select(F.col("node").alias("_node"), "root"), "_node", "left")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_text")).alias("_kept")
     kept = nodes.groupBy(F.coalesce("root", "_node").alias("_g")).agg(least).select("_kept.doc_id", "_kept._text")
-    kept = kept.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash")).distinct()
-    marked = docs.withColumn("_hash_own", F.xxhash64("text"))
-    out = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash_own") == F.col("_hash")))
-    once = F.row_number().over(Window.partitionBy("_hash_own", "doc_id").orderBy("_hash"))
-    return out.withColumn("_once", once).where("_once = 1").select(*docs.columns)
+    kept = kept.select(F.col("doc_id").alias("_k_id"), F.col("_text").alias("_k_hash")).distinct()
+    marked = docs.withColumn("_k_own", F.xxhash64("text"))
+    out = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("_k_id")) & (F.col("_k_own") == F.col("_k_hash")))
+    once = F.row_number().over(Window.partitionBy("_k_own", "doc_id").orderBy("_k_hash"))
+    return out.withColumn("_k_once", once).where("_k_once = 1").select(*docs.columns)
