@@ -34,7 +34,7 @@ SEED = 42
 STRIPS = (13, 13, 13, 13, 12)
 CHUNK = 2048  # fingerprints of a file that one side of a task holds
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-SLAB = 1 << 16  # hashes whose bits are counted at once
+SLAB = 1 << 15  # hashes handled at once
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -172,7 +172,8 @@ MINIMA = 10  # files per text; each needs three equal least shingles, so 0.8 is
 PER_FILE = 3
 WIDE_RADIUS = 18  # 0.8 differs in 9.7 bits of 64 on average, with a deviation of 2.9
 NEAREST = 4  # neighbours asked for in the first round; four times as many in each following one
-MIX = (np.arange(1, MINIMA * PER_FILE + 1, dtype="<u8") * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+# One permutation of the hashes per column: exclusive-or, then an odd factor.
+FLIP, FACTOR = np.random.default_rng(SEED).integers(0, 1 << 64, (2, MINIMA * PER_FILE), "<u8") | np.uint64(1)
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
@@ -193,11 +194,11 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
                 fps.append(fingerprint(own))
                 if len(own):
-                    least = np.full(len(MIX), 0xFFFFFFFFFFFFFFFF, "<u8")
+                    least = np.full(len(FLIP), 0xFFFFFFFFFFFFFFFF, "<u8")
                     for k in range(0, len(own), SLAB):
-                        x = own[k : k + SLAB, None] * MIX
-                        least = np.minimum(least, (x ^ (x >> np.uint64(31))).min(0))
-                    keys.append([xxhash.xxh64_intdigest(least[i : i + PER_FILE].tobytes(), i) for i in range(0, len(MIX), PER_FILE)])
+                        x = (own[k : k + SLAB, None] ^ FLIP) * FACTOR
+                        least = np.minimum(least, (x ^ (x >> np.uint64(32))).min(0))
+                    keys.append([xxhash.xxh64_intdigest(least[i : i + PER_FILE].tobytes(), i) for i in range(0, len(FLIP), PER_FILE)])
                 else:
                     keys.append([])
                 sets.append(np.unique(own.astype("<u4")).view("<i4"))
