@@ -2,13 +2,13 @@
 
 The valence lexicon is a table ``(token, valence)`` given by the caller. Each word travels with the three words before
 it and the one after it, meets the broadcast lexicon where it is read, and is summed per review on the map side: one
-narrow row per review is all that is shuffled, and texts never are. Idiom phrases of the published rule set are not
-covered.
+narrow row per review is all that is shuffled, and texts never are. Tokens of the lexicon are matched as given against
+lower-cased words; a word before a valued one acts on it only if it is not valued itself.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reviewlens.functions.numeric import count_where, percent, rounded
 from reviewlens.plans.metrics import NEGATIVE, NEUTRAL, NOT_SCORED, POSITIVE, VALID_LABELS
@@ -41,6 +41,12 @@ hadnt hasnt havent isnt mightnt mustnt neither don't hadn't hasn't haven't isn't
 none nope nor not nothing nowhere oughtnt shant shouldnt uhuh wasnt werent oughtn't shan't shouldn't uh-uh wasn't
 weren't without wont wouldnt won't wouldn't rarely seldom despite""".split()
 
+# Published phrases whose valence replaces that of their words.
+IDIOMS = {
+    "the shit": 3.0, "the bomb": 3.0, "bad ass": 1.5, "badass": 1.5, "bus stop": 0.0, "yeah right": -2.0, "kiss of death": -1.5,
+    "to die for": 3.0, "beating heart": 3.1, "broken heart": -2.9,
+}
+
 MAX_LEXICON = 1_000_000  # rows; a larger lexicon is joined without the broadcast hint
 VALENCE_UNITS = 1_000_000_000  # valences are summed as whole billionths: exact and order-free
 
@@ -63,6 +69,14 @@ def _words(body: Column) -> Column:
     return F.transform(F.filter(F.split(body, r"\s+"), lambda w: w != ""), bare)
 
 
+def _spelled_out(body: Column, emoji: dict[str, str]) -> Column:
+    """Signs replaced by their words, set off from a character before them."""
+    for sign, words in emoji.items():
+        body = F.regexp_replace(body, r"(?<=[^ ])\Q" + sign + r"\E", " " + words)
+        body = F.replace(body, F.lit(sign), F.lit(words))
+    return body
+
+
 def _emphasis(body: Column) -> Column:
     def occurrences(mark: str) -> Column:
         return F.length(body) - F.length(F.replace(body, F.lit(mark), F.lit("")))
@@ -89,9 +103,14 @@ def score_sentiment(
     keep: tuple[str, ...] = (),
     boosters: dict[str, float] = BOOSTERS,
     negations: list[str] = NEGATIONS,
+    idioms: dict[str, float] = IDIOMS,
+    emoji: dict[str, str] | None = None,
 ) -> DataFrame:
     """``(id, *keep, compound, sentimento)`` per review.
 
+    ``idioms`` are phrases of up to three words that end at or begin with a valued word. ``emoji`` maps signs to the words
+    that stand for them when the text is scored. A token listed twice in the lexicon has its highest valence.
+
     ``keep`` names narrow columns that ride along, so that reports need no join back. A NULL text is read as the
     word ``nan`` and scores as text; a blank text is ``n/a`` without polarity.
     """
@@ -120,11 +139,12 @@ def score_sentiment(
             F.get(words, i - 2).alias("w2"),
             F.get(words, i - 3).alias("w3"),
             F.get(lowers, i + 1).alias("next_token"),
+            F.get(lowers, i + 2).alias("after_next"),
         ),
     )
     upper_count = F.size(F.filter(words, _is_upper))
     rows = (
-        reviews.select(*carried, F.trim(F.coalesce(F.col(text), F.lit("nan"))).alias("body"))
+        reviews.select(*carried, F.trim(_spelled_out(F.coalesce(F.col(text), F.lit("nan")), emoji or {})).alias("body"))
         .withColumn("words", _words(F.col("body")))
         .withColumn("lowers", F.transform("words", F.lower))
         .select(
@@ -139,10 +159,17 @@ def score_sentiment(
         .select(*carried, "readable", "mixed_caps", "but_at", "emphasis", F.explode_outer("context").alias("x"))
         .select(*carried, "readable", "mixed_caps", "but_at", "emphasis", "x.*")
     )
-    values = lexicon.select(F.lower("token").alias("token"), F.col("valence").cast("double").alias("valence"))
-    hits = rows.join(sized(values), "token", "left").join(
-        sized(values.select(F.col("token").alias("next_token"), F.lit(True).alias("next_valued"))), "next_token", "left"
-    )
+    values = lexicon.groupBy("token").agg(F.max(F.col("valence").cast("double")).alias("valence"))
+    hits = rows.join(sized(values), "token", "left")
+    # Words around a valued one are looked up too; around other words there is nothing to look up.
+    for name, word in {"next": F.col("next_token"), "w1": F.lower("w1"), "w2": F.lower("w2"), "w3": F.lower("w3")}.items():
+        flags = values.select(F.col("token").alias(f"{name}_key"), F.lit(True).alias(f"{name}_valued"))
+        hits = hits.withColumn(f"{name}_key", F.when(F.col("valence").isNotNull(), word)).join(sized(flags), f"{name}_key", "left")
+
+    def plain(place: int) -> Column:
+        """There is a word at that distance, and it is not valued."""
+        return F.col(f"w{place}").isNotNull() & F.col(f"w{place}_valued").isNull()
+
 
     l1, l2, l3 = F.lower("w1"), F.lower("w2"), F.lower("w3")
     so_this = ["so", "this"]
@@ -163,22 +190,31 @@ def score_sentiment(
         pair = F.concat(first, F.lit(" "), second)
         return F.coalesce(*[F.when(pair == words, F.lit(d)) for words, d in DEGREE_PAIRS.items()], F.lit(0.0))
 
+    def phrase(*parts: Column) -> Column:
+        return F.element_at(idiom_table, F.concat_ws(" ", *parts)) if idioms else F.lit(None)
+
+    idiom_table = F.create_map(*[F.lit(x) for pair in idioms.items() for x in pair])
+    here, ahead, further = F.col("token"), F.col("next_token"), F.col("after_next")
+    behind = [(l1, here), (l2, l1, here), (l2, l1), (l3, l2, l1), (l3, l2)]
+    forward = [F.when(further.isNotNull(), phrase(here, ahead, further)), F.when(ahead.isNotNull(), phrase(here, ahead))]
+
     v = F.col("v")
     scored = (
         hits.withColumn(
             "v",
             F.when(F.col("valence").isNull() | silent, None)
-            .when((F.col("token") == "no") & F.coalesce("next_valued", F.lit(False)), 0.0)
             .when(after_no, F.col("valence") * NEGATION)
+            .when((F.col("token") == "no") & F.coalesce("next_valued", F.lit(False)), 0.0)
             .otherwise(F.col("valence")),
         )
         .withColumn("v", F.when(F.col("caps") & F.col("mixed_caps"), v + _signed(v, F.lit(CAPS))).otherwise(v))
         .withColumn("v", boosted(v, F.col("w1"), l1, 0))
-        .withColumn("v", F.when(negated(l1), v * NEGATION).otherwise(v))
+        .withColumn("v", F.when(plain(1) & negated(l1), v * NEGATION).otherwise(v))
         .withColumn("v", boosted(v, F.col("w2"), l2, 1))
         .withColumn(
             "v",
-            F.when((l2 == "never") & l1.isin(so_this), v * NEVER_SO)
+            F.when(~plain(2), v)
+            .when((l2 == "never") & l1.isin(so_this), v * NEVER_SO)
             .when((l2 == "without") & (l1 == "doubt"), v)
             .when(negated(l2), v * NEGATION)
             .otherwise(v),
@@ -186,13 +222,15 @@ def score_sentiment(
         .withColumn("v", boosted(v, F.col("w3"), l3, 2))
         .withColumn(
             "v",
-            F.when(((l3 == "never") & l2.isin(so_this)) | (l3.isNotNull() & l1.isin(so_this)), v * NEVER_SO)
+            F.when(~plain(3), v)
+            .when(((l3 == "never") & l2.isin(so_this)) | l1.isin(so_this), v * NEVER_SO)
             .when((l3 == "without") & ((l2 == "doubt") | (l1 == "doubt")), v)
             .when(negated(l3), v * NEGATION)
             .otherwise(v),
         )
-        .withColumn("v", F.when(l3.isNotNull(), v + pair_degree(l3, l2) + pair_degree(l2, l1)).otherwise(v))
-        .withColumn("v", F.when((l1 == "least") & ~F.coalesce(l2.isin("at", "very"), F.lit(False)), v * NEGATION).otherwise(v))
+        .withColumn("v", F.when(plain(3) & v.isNotNull(), F.coalesce(*forward, *[phrase(*p) for p in behind], v)).otherwise(v))
+        .withColumn("v", F.when(plain(3), v + pair_degree(l3, l2) + pair_degree(l2, l1)).otherwise(v))
+        .withColumn("v", F.when(plain(1) & (l1 == "least") & ~F.coalesce(l2.isin("at", "very"), F.lit(False)), v * NEGATION).otherwise(v))
         .withColumn(
             "v",
             F.when((F.col("but_at") > 0) & (F.col("at") < F.col("but_at")), v * BEFORE_BUT)
@@ -243,12 +281,11 @@ def rating_by_label_percent(reviews: DataFrame) -> DataFrame:
 
 def label_distribution(reviews: DataFrame) -> DataFrame:
     """Labels with their share of all rows."""
-    total = reviews.agg(F.count(F.lit(1)).alias("n")).scalar()
+    counted = reviews.groupBy("sentimento").agg(F.count(F.lit(1)).alias("quantidade"))
+    total = F.sum("quantidade").over(Window.partitionBy())  # a handful of counted labels, the NULL one included
     return (
-        reviews.where(F.col("sentimento").isNotNull())
-        .groupBy("sentimento")
-        .agg(F.count(F.lit(1)).alias("quantidade"))
-        .withColumn("percentual", rounded(percent(F.col("quantidade"), total), 1))
+        counted.withColumn("percentual", rounded(percent(F.col("quantidade"), total), 1))
+        .where(F.col("sentimento").isNotNull())
         .orderBy(F.desc("quantidade"), "sentimento")
     )
 
