@@ -48,7 +48,8 @@ class Lexicon(dict):
 
     def __init__(self) -> None:
         self.rows: list[tuple[int, int, bool, bool]] = []
-        self.table = np.zeros(0, [("hash", "<u8"), ("kind", "i1"), ("capital", "?"), ("ends", "?")])
+        self.known = 0  # rows that are in the table
+        self.table = np.zeros(1024, [("hash", "<u8"), ("kind", "i1"), ("capital", "?"), ("ends", "?")])
 
     def __missing__(self, raw: str) -> int:
         found = look(raw)
@@ -61,8 +62,11 @@ class Lexicon(dict):
         return row
 
     def properties(self, ids: np.ndarray) -> np.ndarray:
-        if len(self.table) < len(self.rows):
-            self.table = np.concatenate([self.table, np.array(self.rows[len(self.table) :], self.table.dtype)])
+        while len(self.table) < len(self.rows):  # by doubling: a copy now and then, not one per text
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        if self.known < len(self.rows):
+            self.table[self.known : len(self.rows)] = self.rows[self.known :]
+            self.known = len(self.rows)
         return self.table[ids]
 
 
@@ -74,9 +78,11 @@ def look(raw: str) -> tuple[int, int, bool, bool] | None:
     import xxhash
 
     word = raw.strip(STRIP)
-    ends = raw.rstrip("\"')]»”’")[-1:] in (".", "!", "?")
     low = word.lower()
-    if NUMERIC.fullmatch(raw.strip(".,;:!?\"'()[]")) or low in NUMBERS:
+    if word == raw and word.isalpha() and low not in UNITS and low not in NUMBERS:  # most words
+        return xxhash.xxh64_intdigest(low, SEED), 0, word[0].isupper() and not word.isupper(), False
+    ends = raw.rstrip("\"')]»”’")[-1:] in (".", "!", "?")
+    if low in NUMBERS or not word.isalpha() and NUMERIC.fullmatch(raw.strip(".,;:!?\"'()[]")):
         return xxhash.xxh64_intdigest(NUMBER, SEED), 1, False, ends
     if not word and raw not in UNITS:
         return None
