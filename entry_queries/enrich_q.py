@@ -57,12 +57,9 @@ HITS = f"""
 cat_normed AS (SELECT key, {search_title_sql('title')} AS t, unnest(author_name) AS raw_a FROM catalog),
 cat_authors AS (SELECT key, t, {search_author_sql('raw_a')} AS a FROM cat_normed),
 cat_keys AS ({_keys('cat_authors', 'key', 'a')}),
-pages AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY strategy_rank, search_key ORDER BY key) AS position FROM cat_keys)
-  WHERE position <= 20),
-found AS (SELECT *, count(*) OVER (PARTITION BY strategy_rank, search_key) AS n_found FROM pages),
+found AS (SELECT *, count(*) OVER (PARTITION BY strategy_rank, search_key) AS n_found FROM cat_keys),
 hits AS (
-  SELECT k.book_id, k.strategy_rank, k.strategy, f.position, f.n_found, f.key,
+  SELECT k.book_id, k.strategy_rank, k.strategy, f.n_found, f.key,
     {_gap('lower(m.title_std)', 'lower(c.title)')}
     + CASE WHEN n.a IS NOT NULL AND list_max(list_transform(c.author_name, lambda x: {_gap('n.a', 'lower(x)')})) > 0.7
         THEN 0.2e0 ELSE 0e0 END AS similarity
@@ -72,7 +69,7 @@ BEST = """
 limits AS (SELECT book_id, min(strategy_rank) FILTER (WHERE similarity > 0.8) AS last FROM hits GROUP BY book_id),
 ranked AS (
   SELECT h.*, row_number() OVER (PARTITION BY book_id ORDER BY (similarity <= 0.9)::INT,
-    CASE WHEN similarity > 0.9 THEN 0e0 ELSE -similarity END, strategy_rank, position) AS rn
+    CASE WHEN similarity > 0.9 THEN 0e0 ELSE -similarity END, strategy_rank, h.key) AS rn
   FROM hits h JOIN limits USING (book_id) WHERE (last IS NULL OR strategy_rank <= last) AND similarity > 0.6),
 results AS (
   SELECT m.book_id, array_to_string(c.author_name[1:3], ', ') AS authors_std, c.publisher AS publisher_std,
@@ -103,13 +100,13 @@ def _hits(spark, sf, measure):
 
 @query("en03")
 def en03(spark, sf):
-    return _hits(spark, sf, "matching").select("book_id", "strategy", "position", "key", "similarity")
+    return _hits(spark, sf, "matching").select("book_id", "strategy", "key", "similarity")
 
 
-@query("en03_edit", f"{SEARCH} SELECT book_id, strategy, CAST(position AS INTEGER) AS position, key, {rnd('similarity', 9)} AS similarity FROM hits")
+@query("en03_edit", f"{SEARCH} SELECT book_id, strategy, key, {rnd('similarity', 9)} AS similarity FROM hits")
 def en03_edit(spark, sf):
     hits = _hits(spark, sf, "edit")
-    return hits.select("book_id", "strategy", "position", "key", rounded(F.col("similarity"), 9).alias("similarity"))
+    return hits.select("book_id", "strategy", "key", rounded(F.col("similarity"), 9).alias("similarity"))
 
 
 @query("en04")

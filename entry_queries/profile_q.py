@@ -35,10 +35,10 @@ def pr02(spark, sf):
     return P.missing_profile(books_raw(spark, sf))
 
 
-@query("pr03", """SELECT count(*) AS rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT text, lang FROM documents)) AS duplicates
+@query("pr03", """SELECT count(*) AS rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT text, lang, source, n_chars FROM documents)) AS duplicates
 FROM documents""")
 def pr03(spark, sf):
-    return P.duplicate_rows(table(spark, sf, "documents").select("text", "lang"))
+    return P.duplicate_rows(table(spark, sf, "documents").drop("doc_id"))
 
 
 @query("pr04", f"""{with_(REVIEWS)}

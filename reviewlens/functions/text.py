@@ -26,6 +26,16 @@ _SINGLE = r"'[^'\\]*+(?:\\.[^'\\]*+)*+'"
 _DOUBLE = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 _ITEM = f"(?:{_SINGLE}|{_DOUBLE})"
 _LIST = rf"(?s)^[ \t]*\[\s*(?:{_ITEM}\s*(?:,\s*{_ITEM}\s*)*+,?\s*)?\]\s*$"
+_ATOM = rf"(?:{_ITEM}|[-+]?\d+(?:\.\d*)?(?:[eE][-+]?\d+)?|None|True|False)"
+_PAIR = rf"{_ATOM}\s*(?::\s*{_ATOM}\s*)?"
+_OTHER = rf"(?s)^[ \t]*(?:\(\s*(?:{_PAIR}(?:,\s*{_PAIR})*+,?\s*)?\)|\{{\s*(?:{_PAIR}(?:,\s*{_PAIR})*+,?\s*)?\}})\s*$"
+# Single-character escapes of a string literal (a backslash before a line end joins the lines), and the
+# characters that count as blank.
+_ESCAPES = {
+    "\\n": "\n", "\\t": "\t", "\\r": "\r", "\\\\": "\\", "\\'": "'", '\\"': '"', "\\a": "\a", "\\b": "\b", "\\f": "\f", "\\v": "\v",
+    "\\0": "\0", "\\\n": "",
+}
+_BLANK = r"\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SCALAR = rf"(?s)^[ \t]*(?:{_ITEM}|[-+]?\d+(?:\.\d*)?(?:[eE][-+]?\d+)?|None|True|False)\s*$"
 
 
@@ -43,24 +53,37 @@ def normal_form(c: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(kept, " +", " ")), F.lit(""))
 
 
+def _decoded(body: Column) -> Column:
+    """The text that the inside of a quoted literal stands for; escapes are read once, from left to right."""
+    pieces = F.regexp_extract_all(
+        body, F.lit(r"(?s)\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\.|[^\\]+"), F.lit(0)
+    )
+    plain = F.create_map(*[F.lit(x) for pair in _ESCAPES.items() for x in pair])
+
+    def read(p: Column) -> Column:
+        code = F.when(p.startswith("\\x"), F.concat(F.lit("00"), F.substring(p, 3, 2))).when(p.startswith("\\u"), F.substring(p, 3, 4))
+        spelled = F.when(F.length(p) > 2, F.decode(F.unhex(code), "UTF-16BE"))
+        return F.when(p.startswith("\\"), F.coalesce(spelled, F.element_at(plain, p), p)).otherwise(p)
+
+    return F.when(F.instr(body, "\\") > 0, F.array_join(F.transform(pieces, read), "")).otherwise(body)
+
+
 def names_from_list_literal(c: Column) -> Column:
     """``"['B', 'a ']"`` -> ``"a, b"``: lower case, trimmed, distinct, sorted.
 
-    A quoted, numeric or keyword scalar is returned lower-cased as written; anything that is not a
-    literal, or a list holding something other than strings, gives NULL.
+    A quoted, numeric or keyword scalar, and a flat tuple, set or dictionary, is returned lower-cased as written; anything
+    that is not a literal, or a list holding something other than strings, gives NULL.
     """
     quoted = F.regexp_extract_all(c, F.lit(f"(?s){_ITEM}"), F.lit(0))
 
     def unquote(item: Column) -> Column:
-        body = F.substring(item, F.lit(2), F.length(item) - 2)
-        for escaped, plain in ((r"\\n", "\n"), (r"\\t", "\t"), (r"\\(.)", "$1")):
-            body = F.when(F.instr(body, "\\") > 0, F.regexp_replace(body, escaped, plain)).otherwise(body)
-        return strip_space(F.lower(body))
+        body = _decoded(F.substring(item, F.lit(2), F.length(item) - 2))
+        return F.regexp_replace(F.lower(body), f"^[{_BLANK}]+|[{_BLANK}]+$", "")
 
     names = F.array_sort(F.array_distinct(F.filter(F.transform(quoted, unquote), lambda x: x != "")))
     return (
         F.when(c.rlike(_LIST), F.nullif(F.array_join(names, ", "), F.lit("")))
-        .when(c.rlike(_SCALAR), F.nullif(strip_space(F.lower(c)), F.lit("")))
+        .when(c.rlike(_SCALAR) | c.rlike(_OTHER), F.nullif(strip_space(F.lower(c)), F.lit("")))
     )
 
 

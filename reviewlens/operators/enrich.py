@@ -2,9 +2,8 @@
 
 The reference catalogue is a DataFrame ``(key, title, author_name[], publisher[], publish_date[], subject[],
 first_publish_year)``. A book is looked up by up to four search strategies; each strategy is an equality key on both
-sides, and a search returns one page of catalogue rows in ``key`` order (the page size is part of the search, 20
-unless told otherwise; None returns every match). Pages are cut per key before any book meets them, so the join
-yields at most one page per book and strategy however many rows share a key.
+sides, and a search returns every catalogue row of the key. Rows are judged as they are joined: a book and strategy keep
+one best hit per task, so nothing per key is gathered or ordered.
 """
 
 from __future__ import annotations
@@ -25,7 +24,6 @@ from reviewlens.operators.sampling import row_count, take_sample
 # Strategies in the order they are tried, the single default strategy, and the matching rule.
 STRATEGIES = ["titulo_autor", "titulo_completo", "busca_geral", "palavras_chave"]
 DEFAULT_STRATEGY = "padrao"
-PAGE_SIZE = 20
 AUTHOR_BONUS, AUTHOR_MATCH = 0.2, 0.7
 ACCEPT, GOOD_ENOUGH, CERTAIN = 0.6, 0.8, 0.9
 FIELDS = ["authors_std", "publisher_std", "categories_std", "pub_year"]
@@ -120,8 +118,8 @@ def extract_fields(catalog: DataFrame) -> DataFrame:
     return catalog.select("key", *[c.alias(name) for name, c in _field_columns().items()])
 
 
-def _pages(catalog: DataFrame, multiple: bool, page_size: int | None) -> DataFrame:
-    """First page of catalogue rows per search key."""
+def _keyed(catalog: DataFrame, multiple: bool) -> DataFrame:
+    """Catalogue rows once per search key, with the number of rows that share the key."""
     rows = catalog.select(
         "key", "title", "author_name", *[c.alias(n) for n, c in _field_columns().items()],
         search_title(F.col("title")).alias("t"),
@@ -130,20 +128,27 @@ def _pages(catalog: DataFrame, multiple: bool, page_size: int | None) -> DataFra
     keyed = rows.withColumn("a", F.coalesce(authors, F.array().cast("array<string>"))).select(
         "key", "title", "author_name", *FIELDS, F.inline(_strategy_keys(F.col("t"), F.col("a"), multiple))
     )
-    by_key = ["strategy_rank", "search_key"]
-    if page_size is None:
-        page = keyed.withColumn("position", F.row_number().over(Window.partitionBy(*by_key).orderBy("key")))
-    else:
-        page = top_per_group(keyed, by_key, [F.asc("key")], page_size, "position")
-    found = F.count(F.lit(1)).over(Window.partitionBy(*by_key)).cast("int")
-    return page.withColumn("n_found", found)
+    keyed = keyed.withColumn("_k", F.concat_ws(":", "strategy_rank", "search_key")).drop("search_key")
+    counts = keyed.groupBy("_k").agg(F.count(F.lit(1)).cast("int").alias("n_found"))
+    return salted_lookup(keyed, counts, "_k", F.xxhash64("key"), "inner")
+
+
+def _common_share(a: Column, b: Column) -> Column:
+    """Upper bound of the matching ratio: letters the two share, whatever their order."""
+    letters = F.array_distinct(F.split(a, ""))
+    times = lambda s, c: F.length(s) - F.length(F.replace(s, c, F.lit("")))
+    shared = F.aggregate(letters, F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.least(times(a, c), times(b, c))))
+    return F.coalesce(2.0 * shared / (F.length(a) + F.length(b)), F.lit(0.0))
 
 
 def match_scores(
-    books: DataFrame, catalog: DataFrame, multiple: bool = True, page_size: int | None = PAGE_SIZE, measure: str = "matching"
+    books: DataFrame, catalog: DataFrame, multiple: bool = True, measure: str = "matching", above: float | None = None
 ) -> DataFrame:
-    """Every search hit with its similarity: title similarity plus the bonus for a matching author."""
-    pages = _pages(catalog, multiple, page_size).withColumn("_k", F.concat_ws(":", "strategy_rank", "search_key"))
+    """Every search hit with its similarity: title similarity plus the bonus for a matching author.
+
+    With ``above``, hits that cannot exceed it even with the bonus are dropped before the similarity is computed.
+    """
+    rows = _keyed(catalog, multiple)
     wanted = (
         books.select(
             "book_id",
@@ -156,7 +161,9 @@ def match_scores(
         .withColumn("_k", F.concat_ws(":", "strategy_rank", "search_key"))
         .drop("search_key", "strategy_rank", "strategy")
     )
-    hits = salted_lookup(wanted, pages, "_k", F.xxhash64("book_id"), "inner").drop("_k")
+    hits = salted_lookup(wanted, rows, "_k", F.xxhash64("book_id"), "inner").drop("_k")
+    if above is not None and measure == "matching":
+        hits = hits.where(_common_share(F.lower("book_title"), F.lower("title")) + AUTHOR_BONUS > above)
     authors = F.transform("author_name", F.lower)
     if measure == "edit":
         author_score = F.coalesce(F.array_max(F.transform(authors, lambda x: edit_ratio(F.col("book_author"), x))), F.lit(0.0))
@@ -169,33 +176,36 @@ def match_scores(
 def best_matches(hits: DataFrame) -> DataFrame:
     """One row per book with an accepted hit.
 
-    Hits are judged in strategy and page order. The first certain hit wins outright; otherwise the search ends after
+    Hits are judged in the order of strategy and key. The first certain hit wins outright; otherwise the search ends after
     the first strategy that offers a good enough hit, and the best hit so far wins, the earlier one on a tie.
     """
     s = F.col("similarity")
-    last = F.min(F.when(s > GOOD_ENOUGH, F.col("strategy_rank"))).over(Window.partitionBy("book_id"))
-    reached = hits.withColumn("last", last).where(F.col("last").isNull() | (F.col("strategy_rank") <= F.col("last")))
-    order = [F.col("strategy_rank"), F.col("position")]
     payload = F.struct(*FIELDS, "strategy", "similarity", "n_found", "key")
     # Certain hits come first in search order, the rest by similarity; a minimum over one struct decides.
     certain = s > CERTAIN
     place = F.struct(
         F.when(certain, 0).otherwise(1).alias("class"),
         F.when(certain, 0.0).otherwise(-s).alias("worse"),
-        *order,
+        "strategy_rank",
+        "key",
         payload.alias("hit"),
     )
+    # One row per book and strategy leaves every task; the few that meet per book then decide how far the search went.
+    per_strategy = hits.where(s > ACCEPT).groupBy("book_id", "strategy_rank").agg(
+        F.min(place).alias("place"), F.max(s > GOOD_ENOUGH).alias("good")
+    )
+    last = F.min(F.when(F.col("good"), F.col("strategy_rank"))).over(Window.partitionBy("book_id"))
+    reached = per_strategy.withColumn("last", last).where(F.col("last").isNull() | (F.col("strategy_rank") <= F.col("last")))
     return (
-        reached.where(s > ACCEPT)
-        .groupBy("book_id")
-        .agg(F.min(place)["hit"].alias("hit"))
+        reached.groupBy("book_id")
+        .agg(F.min("place")["hit"].alias("hit"))
         .select("book_id", "hit.*")
         .withColumnRenamed("key", "catalog_key")
     )
 
 
 def find_metadata(
-    books: DataFrame, catalog: DataFrame, multiple: bool = True, page_size: int | None = PAGE_SIZE, measure: str = "matching"
+    books: DataFrame, catalog: DataFrame, multiple: bool = True, measure: str = "matching"
 ) -> DataFrame:
     """``(book_id, fields, strategy, similarity, n_found)`` per book; no match gives NULL fields and similarity 0.
 
@@ -207,7 +217,7 @@ def find_metadata(
     queries = keyed.groupBy("_q").agg(
         F.min("book_id").alias("rep"), F.any_value("title_std").alias("title_std"), F.any_value("authors_std").alias("authors_std")
     )
-    hits = match_scores(queries.withColumnRenamed("rep", "book_id"), catalog, multiple, page_size, measure)
+    hits = match_scores(queries.withColumnRenamed("rep", "book_id"), catalog, multiple, measure, above=ACCEPT)
     best = best_matches(hits).drop("catalog_key").withColumnRenamed("book_id", "rep")
     answers = queries.select("_q", "rep").join(best, "rep").drop("rep")
     return salted_lookup(keyed.select("book_id", "_q"), answers, "_q", F.xxhash64("book_id")).select(

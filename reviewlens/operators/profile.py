@@ -127,8 +127,9 @@ def histogram(df: DataFrame, column: str, bins: int, low: float | None = None, h
     if high is not None:
         kept = kept.where(v <= high)
     uses = kept.groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    first = uses.agg(F.min("v").alias("m")).scalar()
-    width = (uses.agg(F.max("v").alias("m")).scalar() - first) / F.lit(float(bins))
+    ends = kept.agg(F.struct(F.min(v).alias("low"), F.max(v).alias("high")).alias("ends")).scalar()
+    first = ends["low"]
+    width = (ends["high"] - first) / F.lit(float(bins))
     slot = F.when(width > 0, F.least(F.floor((F.col("v") - first) / width), F.lit(bins - 1))).otherwise(0).cast("int")
     counted = uses.groupBy(slot.alias("bin")).agg(F.sum("n").alias("n"))
     axis = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))

@@ -29,11 +29,14 @@ def row_count(df: DataFrame) -> Column:
     return df.agg(F.count(F.lit(1)).alias("n")).scalar()
 
 
-def take_sample(df: DataFrame, n: int | Column, keys: list[str], seed: int = 42) -> DataFrame:
-    """Exactly ``n`` rows, or all of them when there are fewer."""
-    n = (F.lit(n) if isinstance(n, int) else n).cast("long")
+def take_sample(df: DataFrame, n: int | None, keys: list[str], seed: int = 42, fraction: float | None = None) -> DataFrame:
+    """Exactly ``n`` rows, or all of them when there are fewer; with ``fraction`` that share of the rows instead."""
     narrow = df.select(*keys).withColumn("bucket", F.shiftright(_hash(keys, seed), 64 - BUCKET_BITS))
     counts = narrow.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"))
+    if fraction is None:
+        n = F.lit(n).cast("long")
+    else:  # the bucket counts add up to the number of rows
+        n = fraction_size(counts.agg(F.sum("rows").alias("n")).scalar(), fraction)
     upto = counts.withColumn("upto", F.sum("rows").over(Window.orderBy("bucket")))
     edge = upto.where(F.col("upto") >= n).agg(
         F.min(F.struct(F.col("bucket"), (F.col("upto") - F.col("rows")).alias("before"))).alias("edge")
@@ -55,7 +58,7 @@ def fraction_size(total: Column, fraction: float) -> Column:
 def sample_percent(df: DataFrame, percent: int, keys: list[str], seed: int = 42) -> DataFrame:
     if not 1 <= percent <= 100:
         raise ValueError("percent must be between 1 and 100")
-    return take_sample(df, fraction_size(row_count(df), percent / 100), keys, seed)
+    return take_sample(df, None, keys, seed, fraction=percent / 100)
 
 
 def sample_before_scoring(
@@ -63,7 +66,7 @@ def sample_before_scoring(
 ) -> DataFrame:
     """A fraction, else a number of rows, else everything."""
     if frac:
-        return take_sample(df, fraction_size(row_count(df), frac), keys, seed)
+        return take_sample(df, None, keys, seed, fraction=frac)
     return take_sample(df, n, keys, seed) if n else df
 
 
@@ -73,10 +76,11 @@ def stratum_quotas(counts: DataFrame, size: int, total: int, seed: int) -> DataF
     ``counts`` holds (stratum, rows). A draw is only stratified when it has at least one row per stratum, so this
     table never has more than ``size`` rows and one window over it is safe.
     """
+    product = f"(CAST(rows AS DECIMAL(19, 0)) * CAST({size} AS DECIMAL(19, 0)))"  # beyond 64 bits for large strata
     share = counts.withColumns(
         {
-            "base": F.expr(f"rows * {size} div {total}"),
-            "rest": F.expr(f"rows * {size} % {total}"),
+            "base": F.expr(f"CAST({product} div {total} AS BIGINT)"),
+            "rest": F.expr(f"CAST({product} % {total} AS BIGINT)"),
         }
     )
     missing = F.lit(size) - F.sum("base").over(Window.partitionBy())

@@ -9,7 +9,7 @@ def most_frequent_spelling(df: DataFrame, norm: str, original: str, out: str) ->
     """Add ``out``: per normal form, the spelling used most often (the lowest on ties); NULL for a NULL form.
 
     Spellings are counted before they are compared, so a form that covers a third of all rows is a handful of
-    counted spellings by the time it meets its group. Rows without a form stay out of the join.
+    counted spellings by the time it meets its group. Rows without a form get a key each that no form has.
     """
     spellings = (
         df.where(F.col(norm).isNotNull() & F.col(original).isNotNull())
@@ -19,4 +19,5 @@ def most_frequent_spelling(df: DataFrame, norm: str, original: str, out: str) ->
     standard = spellings.groupBy(F.col(norm).alias("_form")).agg(
         F.min(F.struct((-F.col("uses")).alias("u"), F.col(original).alias("s")))["s"].alias(out)
     )
-    return df.join(standard, F.col(norm) == F.col("_form"), "left").drop("_form")
+    key = F.coalesce(F.col(norm), F.concat(F.lit("\u0000"), F.xxhash64(*df.columns).cast("string")))
+    return df.join(standard, key == F.col("_form"), "left").drop("_form")

@@ -7,7 +7,7 @@ reports are ordered by the rounded score and then by their natural key, so ties
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reviewlens.functions.numeric import (
     percent,
@@ -36,8 +36,6 @@ from reviewlens.plans.metrics import (
     tier,
 )
 
-LAST_YEAR = 2024  # fixed value: newest publication year the yearly report accepts
-
 
 def _book_keys() -> dict[str, Column]:
     return {"titulo": F.col("title_std"), "autor": F.col("authors_std"), "categoria": F.col("categories_std")}
@@ -138,7 +136,9 @@ def interview_candidates(books: DataFrame, reviews: DataFrame) -> DataFrame:
         .groupBy("title_std", "theme")
         .agg(F.count(F.lit(1)).alias("copies"))
     )
-    weighted = folded.join(themes, F.col("title") == F.col("title_std"), "left").withColumn(
+    # Rows without a title match nothing: a key of their own per user keeps them off one reducer.
+    key = F.coalesce("title", F.concat(F.lit("\u0000"), F.col("user_id")))
+    weighted = folded.join(themes, key == F.col("title_std"), "left").withColumn(
         "w", F.coalesce(F.col("copies"), F.lit(1))
     )
 
@@ -149,7 +149,7 @@ def interview_candidates(books: DataFrame, reviews: DataFrame) -> DataFrame:
     label = F.col("sentimento")
     activity = weighted.groupBy("user_id").agg(
         volume().alias("total_reviews"),
-        F.count_distinct("sentimento").alias("sentimentos_diversos"),
+        F.size(F.collect_set("sentimento")).cast("long").alias("sentimentos_diversos"),
         F.count_distinct("theme").alias("categorias_diversas"),
         volume(label == POSITIVE).alias("reviews_positivos"),
         volume(label == NEGATIVE).alias("reviews_negativos"),
@@ -351,8 +351,10 @@ def reviews_by_period(books: DataFrame, reviews: DataFrame) -> DataFrame:
     )
 
 
-def reviews_by_year(books: DataFrame, reviews: DataFrame, start_year: int = 2000) -> DataFrame:
-    dated = books.where(F.col("pub_year").between(start_year, LAST_YEAR))
+def reviews_by_year(books: DataFrame, reviews: DataFrame, start_year: int = 2000, end_year: int | None = None) -> DataFrame:
+    dated = books.where(F.col("pub_year") >= start_year)
+    if end_year is not None:
+        dated = dated.where(F.col("pub_year") <= end_year)
     m = review_metrics(dated, reviews, {"ano": F.col("pub_year")})
     return (
         m.where(F.col("t") >= 5)
@@ -523,7 +525,7 @@ def summary_stats(books: DataFrame, reviews: DataFrame) -> DataFrame:
 
 def sentiment_distribution(reviews: DataFrame) -> DataFrame:
     counts = sentiment_counts(reviews).withColumnRenamed("count", "quantidade")
-    total = reviews.agg(F.count("sentimento").alias("n")).scalar()
+    total = F.sum("quantidade").over(Window.partitionBy())  # over a handful of counted labels
     return counts.withColumn("percentual", rounded(percent(F.col("quantidade"), total), 1)).orderBy(
         F.desc("quantidade"), "sentimento"
     )

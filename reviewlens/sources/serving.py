@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType
 
 from reviewlens.functions.text import strip_space
+from reviewlens.session import cut_lineage
 
 NULL_TOKENS = ["nan", "None", "null", ""]  # fixed values: spellings of a missing value
 CATALOGUE, REVIEW_TABLE = "books_data_processed", "books_rating_modified"  # fixed values: expected tables
@@ -33,7 +34,8 @@ def clean_strings(df: DataFrame) -> DataFrame:
 
 
 def clean_for_load(df: DataFrame) -> DataFrame:
-    return clean_strings(drop_sparse_columns(df.dropDuplicates()))
+    """Distinct rows, sparse columns dropped, strings cleaned; the distinct rows are written once and counted there."""
+    return clean_strings(drop_sparse_columns(cut_lineage(df.dropDuplicates())))
 
 
 def load_tables(
@@ -47,7 +49,9 @@ def load_tables(
     for name, path in inputs.items():
         try:
             stage = spark.read.parquet(path)
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             continue
         if stage.isEmpty():
             continue

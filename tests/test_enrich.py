@@ -92,12 +92,18 @@ def test_metadata_and_author_bonus(frames):
     assert got[5]["strategy"] is None
 
 
-def test_page_size_limits_a_search_not_the_answer_set(spark):
+def test_a_search_sees_every_row_of_its_key(spark):
+    rows = [(f"k{i:03d}", "Same Title" if i == 29 else "Title Same", ["A"], ["H"], ["1999"], ["s"], 1999) for i in range(30)]
+    books = spark.createDataFrame([(1, "same title", "zz", None, None, None)], schemas.BOOKS)
+    found = E.find_metadata(books, spark.createDataFrame(rows, schemas.CATALOG)).first()
+    assert found["similarity"] == 1.0
+
+
+def test_number_of_hits(spark):
     catalog = spark.createDataFrame([(f"k{i:03d}", "Same Title", ["A"], ["H"], ["1999"], ["s"], 1999) for i in range(50)], schemas.CATALOG)
     books = spark.createDataFrame([(i, "same title", f"zz {i}", None, None, None) for i in range(40)], schemas.BOOKS)
     found = E.find_metadata(books, catalog).collect()
-    assert len(found) == 40 and {r["n_found"] for r in found} == {20}
-    assert {r["n_found"] for r in E.find_metadata(books, catalog, page_size=None).collect()} == {50}
+    assert len(found) == 40 and {r["n_found"] for r in found} == {50}
     single = E.find_metadata(books, catalog, multiple=False).collect()
     assert {r["strategy"] for r in single} == {"padrao"}
 

@@ -92,7 +92,7 @@ CASES = {
     "q10": lambda b, r: R.best_themes(b, r),
     "q11": lambda b, r: R.worst_themes(b, r),
     "q12": lambda b, r: R.reviews_by_period(b, r),
-    "q13": lambda b, r: R.reviews_by_year(b, r),
+    "q13": lambda b, r: R.reviews_by_year(b, r, end_year=2024),
     "q14": lambda b, r: R.recency_comparison(b, r),
     "q15": lambda b, r: R.recency_trend(b, r),
     "q20": lambda b, r: R.summary_stats(b, r),

@@ -81,3 +81,21 @@ def test_most_frequent_spelling(spark):
     frame = spark.createDataFrame(rows, "id int, norm string, orig string")
     got = {r["id"]: r["std"] for r in most_frequent_spelling(frame, "norm", "orig", "std").collect()}
     assert got == {1: "B", 2: "B", 3: "B", 4: "x", 5: "x", 6: None, 7: None}
+
+
+def test_random_list_literals(spark):
+    import random
+
+    random.seed(11)
+    letters = ["a", "B", " ", "\xa0", "\\", "'", '"', "\n", "\t", "\r", "’", "é", "\x07", ",", "　"]
+    lists = [["".join(random.choice(letters) for _ in range(random.randint(0, 8))) for _ in range(random.randint(0, 4))] for _ in range(200)]
+    values = [repr(v) for v in lists] + [ascii(v) for v in lists[:100]]
+    got = apply(spark, T.names_from_list_literal, values)
+    want = [literal_rule(v) for v in values]
+    assert [(v, g, w) for v, g, w in zip(values, got, want) if g != w] == []
+
+
+def test_other_literals_keep_their_text(spark):
+    values = ["('A', 'b')", "{'Name': 'X', 'n': 1}", "{'A'}", "()", "('A' 'b'", "(A, b)", "['Jo\\xa0Ann']", "['a\\\\n b']"]
+    assert apply(spark, T.names_from_list_literal, values) == [
+        "('a', 'b')", "{'name': 'x', 'n': 1}", "{'a'}", "()", None, None, "jo\xa0ann", "a\\n b"]
