@@ -112,8 +112,8 @@ def layout(fps: np.ndarray, group: np.ndarray, cell: np.ndarray):
     return padded, valid, place, q[keep], w[keep]
 
 
-def links(fps: np.ndarray, group: np.ndarray, cell: np.ndarray, radius: int, most: int = 1 << 19) -> Iterator[tuple]:
-    """(i, j, distance), i and j row numbers, in pieces of about ``most`` blocks."""
+def links(fps: np.ndarray, group: np.ndarray, cell: np.ndarray, radius: int, most: int = 1 << 14) -> Iterator[tuple]:
+    """(i, j, distance), i and j row numbers, in pieces of ``most`` blocks, so at most 64 times as many links at once."""
     padded, valid, place, q, w = layout(fps, group, cell)
     back = np.empty(len(padded), np.int64)
     back[place] = np.arange(len(fps))
