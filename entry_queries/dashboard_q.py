@@ -150,9 +150,10 @@ picked AS (
   WHERE title IS NOT NULL AND sentimento IN ('positivo', 'negativo', 'neutro') AND length(trim(text)) > 20),
 grouped AS (
   SELECT title, sentimento, count(*) AS total_reviews,
-    string_agg('- ' || head || '...', chr(10) || chr(10) ORDER BY pos) FILTER (WHERE pos <= 8) AS body
+    string_agg('- ' || head || '...', chr(10) || chr(10) ORDER BY pos) FILTER (WHERE pos <= 8) AS body,
+    list(head ORDER BY pos) AS shown
   FROM picked WHERE pos <= CASE sentimento WHEN 'neutro' THEN 5 ELSE 10 END GROUP BY title, sentimento),
-prompts AS (SELECT title, sentimento, total_reviews, {_prompt_case()} AS prompt FROM grouped)"""
+prompts AS (SELECT title, sentimento, total_reviews, {_prompt_case()} AS prompt, shown FROM grouped)"""
 
 _REC = """CASE WHEN s > 0.3 AND pos > 70 THEN {0} WHEN s > 0.1 AND pos > 60 THEN {1}
   WHEN s < -0.1 OR pos < 40 THEN {2} ELSE {3} END"""
@@ -185,9 +186,11 @@ _LABELS = ("positivo", "negativo", "neutro")
 @query("ai_report", PROMPTS + f""", {INSIGHTS},
 wide AS (
   SELECT title, {', '.join(f"max(prompt) FILTER (WHERE sentimento = '{x}') AS prompt_{x}" for x in _LABELS)},
-    {', '.join(f"max(total_reviews) FILTER (WHERE sentimento = '{x}') AS reviews_{x}" for x in _LABELS)}
+    {', '.join(f"max(total_reviews) FILTER (WHERE sentimento = '{x}') AS reviews_{x}" for x in _LABELS)},
+    {', '.join(f"max(shown) FILTER (WHERE sentimento = '{x}') AS texts_{x}" for x in _LABELS)}
   FROM prompts GROUP BY title)
-SELECT i.*, {', '.join(f"prompt_{x}, coalesce(reviews_{x}, 0) AS reviews_{x}" for x in _LABELS)},
+SELECT i.*, {', '.join(f"CASE WHEN prompt_{x} IS NULL THEN 'Nenhum review {x}s encontrado' END AS message_{x}" for x in _LABELS)},
+  {', '.join(f"texts_{x}, prompt_{x}, coalesce(reviews_{x}, 0) AS reviews_{x}" for x in _LABELS)},
   {', '.join(f"CASE WHEN prompt_{x} IS NULL THEN 'no_data' ELSE 'ready' END AS status_{x}" for x in _LABELS)},
   CAST(NULL AS VARCHAR) AS summary
 FROM insights i LEFT JOIN wide ON titulo = title""")

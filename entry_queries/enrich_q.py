@@ -10,6 +10,7 @@ from entry_queries.text_q import search_author_sql, search_title_sql
 from reviewlens.functions.numeric import rounded
 from reviewlens.operators import enrich as E
 from reviewlens.operators import profile as P
+from reviewlens.session import scratch_path
 from reviewlens.sources.sample_tables import books_with_gaps, reference_catalog
 
 GAPS = """
@@ -220,6 +221,18 @@ def pr12_examples(spark, sf):
     return out.withColumn("similarity", rounded(F.col("similarity"), 9))
 
 
+@query("pr12_report")
+def pr12_report(spark, sf):
+    return E.diagnose(books_with_gaps(spark, sf), reference_catalog(spark, sf))
+
+
+@query("en07_stage", f"{SEARCH} SELECT * REPLACE ({rnd('similarity', 9)} AS similarity) FROM results")
+def en07_stage(spark, sf):
+    path = scratch_path(spark, "enrichment")
+    staged = E.enrich_to_stage(books_with_gaps(spark, sf), reference_catalog(spark, sf), path, "edit", pieces=2)
+    return staged.withColumn("similarity", rounded(F.col("similarity"), 9))
+
+
 @query("pr12_sample")
 def pr12_sample(spark, sf):
     sample = E.diagnosis_sample(books_with_gaps(spark, sf))

@@ -22,11 +22,13 @@ def csv_roundtrip(spark, sf):
     return files.read_csv(spark, files.write_csv(docs, scratch_path(spark, "csv")), docs.schema)
 
 
-@query("processed_csv_scan", f"{with_(BOOKS)} SELECT * FROM books")
+@query("processed_csv_scan", f"""{with_(BOOKS, REVIEWS)}
+SELECT b.*, review_id, score, sentimento, compound FROM books b JOIN reviews ON title = title_std""")
 def processed_csv_scan(spark, sf):
-    path = files.write_csv(books(spark, sf), scratch_path(spark, "books"))
-    pair = files.read_raw_pair(spark, path, path, schemas.BOOKS, schemas.BOOKS)
-    return pair[0]
+    rated = reviews(spark, sf)
+    paths = [files.write_csv(df, scratch_path(spark, name)) for df, name in ((books(spark, sf), "books"), (rated, "reviews"))]
+    left, right = files.read_raw_pair(spark, *paths, schemas.BOOKS, rated.schema)
+    return left.join(right, F.col("title") == F.col("title_std")).drop("title")
 
 
 @query("parquet_roundtrip", f"{with_(REVIEWS)} SELECT * FROM reviews")

@@ -11,6 +11,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
@@ -20,6 +21,7 @@ from reviewlens.functions.text import search_author, search_title, year_in_text
 from reviewlens.operators.lookup import salted_lookup
 from reviewlens.operators.ranking import top_per_group
 from reviewlens.operators.sampling import row_count, take_sample
+from reviewlens.session import cut_lineage
 
 # Strategies in the order they are tried, the single default strategy, and the matching rule.
 STRATEGIES = ["titulo_autor", "titulo_completo", "busca_geral", "palavras_chave"]
@@ -252,6 +254,26 @@ def enrich_missing(
     return find_metadata(wanted, catalog, measure=measure)
 
 
+def enrich_to_stage(books: DataFrame, catalog: DataFrame, path: str, measure: str = "matching", pieces: int = 16) -> DataFrame:
+    """:func:`enrich_missing` written piece by piece under ``path``; a second call goes on where the first one stopped.
+
+    A piece holds the books whose id hashes to it. Spark marks a piece that was written whole; others are done again.
+    """
+    spark = books.sparkSession
+    wanted = missing_records(books)
+    for k in range(pieces):
+        piece = f"{path.rstrip('/')}/piece={k}"
+        try:
+            # A folder without its mark is a write that was cut off.
+            spark.read.format("binaryFile").load(f"{piece}/_SUCCESS").isEmpty()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            part = wanted.where(F.pmod(F.xxhash64("book_id"), F.lit(pieces)) == k)
+            find_metadata(part, catalog, measure=measure).write.mode("overwrite").parquet(piece)
+    return spark.read.parquet(*[f"{path.rstrip('/')}/piece={k}" for k in range(pieces)])
+
+
 def enrichment_summary(found: DataFrame) -> DataFrame:
     """Books searched, books with at least one field found, success rate."""
     success = F.lit(False)
@@ -308,3 +330,20 @@ def diagnose_examples(books: DataFrame, found: DataFrame, k: int = 5) -> DataFra
 
 def diagnosis_sample(books: DataFrame, n: int = 100, seed: int = 42) -> DataFrame:
     return take_sample(books, n, ["book_id"], seed)
+
+
+def diagnose(books: DataFrame, catalog: DataFrame, n: int = 100, seed: int = 42, measure: str = "matching") -> DataFrame:
+    """All parts of the search diagnosis of a sample in one row: titles, strategies, similarity, examples."""
+    sample = cut_lineage(diagnosis_sample(books, n, seed))
+    found = cut_lineage(find_metadata(sample, catalog, measure=measure))
+
+    def listed(df: DataFrame, *order: str) -> Column:
+        row = F.struct(*order, *[c for c in df.columns if c not in order])
+        return df.agg(F.sort_array(F.collect_list(row)).alias("rows")).scalar()  # at most four strategies, or ten examples
+
+    shape = diagnose_similarity(found)
+    return diagnose_titles(sample).withColumns({
+        "similarity": shape.select(F.struct(*shape.columns).alias("one")).scalar(),
+        "strategies": listed(diagnose_strategies(found), "strategy"),
+        "examples": listed(diagnose_examples(sample, found), "outcome", "book_id"),
+    })

@@ -46,10 +46,11 @@ MONITOR = "📊 MONITORAR - Desempenho neutro"
 FEW_REVIEWS = " (Poucos reviews - dados limitados)"
 MANY_REVIEWS = " (Alto volume - dados confiáveis)"
 HIGH, MEDIUM, LOW = "Alta", "Média", "Baixa"
+NO_REVIEW = "Nenhum review {kind} encontrado"
 
 
 def summary_prompts(reviews: DataFrame) -> DataFrame:
-    """One row per (title, label) with readable reviews: how many are shown and the prompt over the first eight.
+    """One row per (title, label) with readable reviews: how many are shown, the prompt over the first eight, and all shown.
 
     Only the first 200 characters of a review are ever ranked or gathered, and at most ten of them per group.
     """
@@ -74,7 +75,7 @@ def summary_prompts(reviews: DataFrame) -> DataFrame:
     return (
         shown.groupBy("title", "sentimento")
         .agg(F.count(F.lit(1)).alias("total_reviews"), texts.alias("texts"))
-        .select("title", "sentimento", "total_reviews", prompt.alias("prompt"))
+        .select("title", "sentimento", "total_reviews", prompt.alias("prompt"), F.col("texts.text").alias("shown"))
     )
 
 
@@ -101,11 +102,14 @@ def recommendations(info: DataFrame) -> DataFrame:
 
 
 def book_reports(books: DataFrame, reviews: DataFrame) -> DataFrame:
-    """One row per catalogue row with reviews: summary figures, recommendation, and prompt and status per label."""
+    """One row per catalogue row with reviews: summary figures, recommendation, and per label the reviews shown, the prompt,
+    the status and a message. The message of a ready label is the external step's to give.
+    """
     label = F.col("sentimento")
     prompts = summary_prompts(reviews)
     wide = prompts.groupBy("title").agg(
         *[F.max(F.when(label == name, F.col("prompt"))).alias(f"prompt_{name}") for name in REVIEWS_PER_LABEL],
+        *[F.max(F.when(label == name, F.col("shown"))).alias(f"texts_{name}") for name in REVIEWS_PER_LABEL],
         *[
             F.max(F.when(label == name, F.col("total_reviews"))).alias(f"reviews_{name}")
             for name in REVIEWS_PER_LABEL
@@ -119,6 +123,11 @@ def book_reports(books: DataFrame, reviews: DataFrame) -> DataFrame:
             f"status_{name}": F.when(F.col(f"prompt_{name}").isNull(), "no_data").otherwise("ready")
             for name in REVIEWS_PER_LABEL
         }
+    ).withColumns(
+        {
+            f"message_{name}": F.when(F.col(f"prompt_{name}").isNull(), NO_REVIEW.format(kind=f"{name}s"))
+            for name in REVIEWS_PER_LABEL
+        }
     ).withColumn("summary", F.lit(None).cast("string"))
 
 

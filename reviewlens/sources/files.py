@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from reviewlens.session import spread
+
 _CSV = {"header": "true", "quote": '"', "escape": '"'}
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """CSV with quoted line breaks. Such a file cannot be split, so convert it once with :func:`csv_to_parquet`."""
-    return spark.read.schema(schema).options(multiLine="true", **_CSV).csv(path)
+def read_csv(spark: SparkSession, path: str, schema: StructType, multi_line: bool = True) -> DataFrame:
+    """CSV, by default with quoted line breaks. Such a file cannot be split: convert it once with :func:`csv_to_parquet`.
+
+    Where no field holds a line break, ``multi_line=False`` lets Spark split the file.
+    """
+    return spark.read.schema(schema).options(multiLine=str(multi_line).lower(), **_CSV).csv(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
@@ -38,13 +43,16 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> str:
 
 
 def csv_to_parquet(
-    spark: SparkSession, src: str, dst: str, schema: StructType, id_column: str | None = None
+    spark: SparkSession, src: str, dst: str, schema: StructType, id_column: str | None = None, multi_line: bool = True
 ) -> DataFrame:
-    """Convert once and read the result. ``id_column`` gives rows an identity in input order, fixed by the write."""
-    rows = read_csv(spark, src, schema)
+    """Convert once and read the result. ``id_column`` gives rows an identity in input order, fixed by the write.
+
+    A file that is read whole by one task is dealt to all of them before the write.
+    """
+    rows = read_csv(spark, src, schema, multi_line)
     if id_column:
         rows = rows.select(F.monotonically_increasing_id().alias(id_column), "*")
-    write_parquet(rows, dst)
+    write_parquet(spread(rows), dst)
     return read_parquet(spark, dst)
 
 
