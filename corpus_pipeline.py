@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reviewlens.llm import decontaminate, langid, mixing, sharding, simhash
-from reviewlens.llm.common import held_out, stage, table
+from reviewlens.llm.common import held_out, release, stage, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,5 +51,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for _, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir))
+        before, docs = docs, stage(step(spark, docs, sf_dir))
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from reviewlens.session import cut_lineage, shared_dir
+from reviewlens.session import scratch_path
 
 #: White space between words, as in the contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = " \t\n\x0b\f\r"
@@ -32,5 +32,19 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: recovery never goes further back than here."""
-    shared_dir(df.sparkSession)
-    return cut_lineage(df)
+    spark = df.sparkSession
+    path = scratch_path(spark, "stage")
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stage_path = path
+    return out
+
+
+def release(*stages: DataFrame | None) -> None:
+    """Delete the files of stages that nothing reads any more; frames that are no stage are left alone."""
+    for df in stages:
+        path = getattr(df, "_stage_path", None)
+        if path is not None:
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from reviewlens.llm.common import stage
+from reviewlens.llm.common import release, stage
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
@@ -13,6 +13,13 @@ def _with_least(edges: DataFrame) -> DataFrame:
     return edges.join(least, "u")
 
 
+def _settled(edges: DataFrame) -> bool:
+    """All edges lead straight to a root: no node has two of them, and none is both an end and a start."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("out")).unionAll(edges.select(F.col("v").alias("n"), F.lit(0).alias("out")))
+    mixed = ends.groupBy("n").agg(F.sum("out").alias("out"), F.min("out").alias("least"))
+    return mixed.where("out > 1 OR (out = 1 AND least = 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node reachable from every node of ``edges`` (a, b; undirected).
 
@@ -23,8 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     pairs = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
     current = stage(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    while True:
+    while not _settled(current):
         # Large star: among both directions, larger neighbours go to the least of all neighbours and the node itself.
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).where(F.col("v") > F.col("u")).select(
@@ -35,11 +41,6 @@ def components(edges: DataFrame) -> DataFrame:
         small = low.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             low.select("u", F.col("m").alias("v"))
         )
-        current = stage(small.where(F.col("u") != F.col("v")).distinct())
-        seen = current.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u"),
-        ).first()
-        # A forest of stars in which nothing moved any more: every node points to its root.
-        if seen == before or seen[0] == 0:
-            return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = seen
+        before, current = current, stage(small.where(F.col("u") != F.col("v")).distinct())
+        release(before)
+    return current.select(F.col("u").alias("node"), F.col("v").alias("root"))

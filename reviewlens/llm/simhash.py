@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reviewlens.llm import bitslice
-from reviewlens.llm.common import stage
+from reviewlens.llm.common import release, stage
 from reviewlens.llm.components import components
 
 SEED = 42
@@ -171,7 +171,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, chunk: int
 MINIMA = 10  # files per text; each needs three equal least shingles, so 0.8 is met with 1 - (1 - 0.8 ** 3) ** 10 = 0.999
 PER_FILE = 3
 WIDE_RADIUS = 18  # 0.8 differs in 9.7 bits of 64 on average, with a deviation of 2.9
-NEAREST = 4  # neighbours asked for in the first round; four times as many in each following one
+NEAREST = 4  # neighbours asked for in the first round
+GROWTH = 8  # and so many times as many in each following one
 # One permutation of the hashes per column: exclusive-or, then an odd factor.
 FLIP, FACTOR = np.random.default_rng(SEED).integers(0, 1 << 64, (2, MINIMA * PER_FILE), "<u8") | np.uint64(1)
 
@@ -215,21 +216,25 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("_text")).mapInArrow(work, schema)
 
 
-def nearest(filed: DataFrame, radius: int, k: int, chunk: int) -> DataFrame:
+def nearest(filed: DataFrame, radius: int, k: int, similarity: float, chunk: int) -> DataFrame:
     """(node, other, d): for every active node the ``k`` nearest others of another component beyond its floor, per task.
 
-    ``filed`` has key, node, fp, label, active, floor_d, floor_node. Order is by distance, then node.
+    ``filed`` has key, node, fp, size, label, active, floor_d, floor_node. Order is by distance, then node. Sets whose sizes
+    differ too much for the similarity cannot reach it and are passed over.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, group, cell in _whole_groups(batches):
-            col = {c: rows.column(c).to_numpy() for c in ("node", "fp", "label", "active", "floor_d", "floor_node")}
+            col = {c: rows.column(c).to_numpy() for c in ("node", "fp", "size", "label", "active", "floor_d", "floor_node")}
             best: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
             for i, j, d in bitslice.links(col["fp"].view("<u8"), group, cell, radius):
+                fits = np.minimum(col["size"][i], col["size"][j]) >= similarity * np.maximum(col["size"][i], col["size"][j])
+                fits &= col["label"][i] != col["label"][j]
+                i, j, d = i[fits], j[fits], d[fits]
                 i, j, d = np.r_[i, j], np.r_[j, i], np.r_[d, d]
                 other = col["node"][j]
                 late = (d > col["floor_d"][i]) | ((d == col["floor_d"][i]) & (other > col["floor_node"][i]))
-                keep = late & (col["label"][i] != col["label"][j]) & col["active"][i]
+                keep = late & col["active"][i]
                 a, b, d = (np.r_[x, y] for x, y in zip(best, (i[keep], other[keep], d[keep])))
                 order = np.lexsort((b, d, a))
                 a, b, d = a[order], b[order], d[order]
@@ -246,15 +251,16 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rad
 
     Texts of one group are chained by Jaccard similarities of ``similarity`` or more of their sets of ``words``-word
     shingles. Rounds ask each text for its nearest candidates outside its component, beyond those asked before, and check
-    them on the sets; the number per round grows fourfold, and a text is done when it has no candidate left. So all
+    them on the sets; the number per round grows, and a text is done when it has no candidate left. So all
     candidates that could still connect two components are checked. A blank text has an empty set and no group.
     """
     rows = stage(sketches(docs, words))
     once = stage(rows.where(F.size("_keys") > 0).groupBy(F.col("_node").alias("node")).agg(
-        F.first("_fp").alias("fp"), F.first("_keys").alias("keys")))
-    filed = once.select("node", "fp", F.explode("keys").alias("key"))
+        F.first("_fp").alias("fp"), F.first("_keys").alias("keys"), F.first(F.size("_set")).alias("size")))
+    filed = once.select("node", "fp", "size", F.explode("keys").alias("key"))
     shared = filed.groupBy("key").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1").select("key")
     filed = stage(filed.join(shared, "key"))
+    release(once)
     state = filed.select("node").distinct().select(
         "node", F.col("node").alias("label"), F.lit(True).alias("active"), F.lit(-1).cast("long").alias("floor_d"),
         F.lit(0).cast("long").alias("floor_node"))
@@ -265,7 +271,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rad
         open_files = here.groupBy("key").agg(F.max("active").alias("_open"), (F.min("label") != F.max("label")).alias("_mixed"))
         here = here.join(open_files.where("_open AND _mixed").select("key"), "key")
         ranked = F.row_number().over(Window.partitionBy("node").orderBy("d", "other"))
-        asked = stage(nearest(here, radius, k, chunk).distinct().withColumn("_rank", ranked).where(F.col("_rank") <= k))
+        asked = stage(nearest(here, radius, k, similarity, chunk).distinct().withColumn("_rank", ranked).where(F.col("_rank") <= k))
         pairs = asked.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         involved = pairs.select(F.col("a").alias("_node")).union(pairs.select(F.col("b").alias("_node"))).distinct()
         sets = rows.select("_node", "_set").join(involved, "_node").groupBy("_node").agg(F.first("_set").alias("s"))
@@ -277,11 +283,12 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rad
             .where(common >= similarity * (F.size("sa") + F.size("sb") - common))
             .select("a", "b")
         )
-        links = stage(good if links is None else links.union(good))
+        before, links = links, stage(good if links is None else links.union(good))
+        release(before, sets)
         groups = components(links)
         last = asked.groupBy("node").agg(
             F.count(F.lit(1)).alias("_n"), F.max(F.struct("d", "other")).alias("_last"))
-        state = stage(
+        before, state = state, stage(
             state.where("active").join(last.where(F.col("_n") == k), "node", "left")
             .select("node", F.col("_n").isNotNull().alias("active"), F.coalesce("_last.d", "floor_d").alias("floor_d"),
                     F.coalesce("_last.other", "floor_node").alias("floor_node"))
@@ -289,9 +296,11 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rad
             .join(groups, "node", "left")
             .select("node", F.coalesce("root", "node").alias("label"), "active", "floor_d", "floor_node")
         )
+        release(before, asked)
         if state.where("active").isEmpty():
+            release(filed, links, state)
             return rows, groups
-        k *= 4
+        k *= GROWTH
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
