@@ -5,6 +5,10 @@ each other, and when the values behind the placeholders go together: wherever th
 the document. So a question with other numbers is caught, a text of the same shape whose
 values contradict the item's is not.
 
+Every capitalised word is a name, at the start of a sentence too, so a word's slot never depends on what stands before the
+item. Windows with names are filed a second time with the words themselves, case folded, for copies in other case. Words
+that the item has capitalised at the start of sentences only may be no names: their values need not go together.
+
 Windows are found by a hash join. Before it, each task drops windows whose hash is not in a bitmap of the items' hashes;
 the bitmap has a fixed size, and lets no true window be lost. The items' side is broadcast only after its windows have
 been counted; beyond the bound the join shuffles both sides.
@@ -18,6 +22,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import product
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -91,45 +97,89 @@ def look(raw: str) -> tuple[int, int, bool, bool] | None:
     return xxhash.xxh64_intdigest(low, SEED), 0, word[:1].isupper() and not word.isupper(), ends
 
 
-def canonical(text: str, lexicon: Lexicon) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """(hash of each canonical word, the raw words, which are placeholders: 0 none, 1 number, 2 unit, 3 name).
+class Words(NamedTuple):
+    """Canonical words: hashes with names as they are, raw words, slots (0 none, 1 number, 2 unit, 3 name), kinds as of
+    ``look``, and which begin no sentence. A unit is one only after a number."""
 
-    A unit is one only after a number. A name is a capitalised word inside a sentence.
-    """
-    import xxhash
+    hashes: np.ndarray
+    raws: list[str]
+    slot: np.ndarray
+    kind: np.ndarray
+    inside: np.ndarray
 
+
+def canonical(text: str, lexicon: Lexicon) -> Words:
     raws = text.split()
     ids = np.fromiter(map(lexicon.__getitem__, raws), np.int64, len(raws))
     if len(ids) and ids.min() < 0:
         raws = [r for r, k in zip(raws, ids.tolist()) if k >= 0]
         ids = ids[ids >= 0]
     if not len(ids):
-        return np.zeros(0, "<u8"), [], np.zeros(0, np.int8)
+        return Words(np.zeros(0, "<u8"), [], np.zeros(0, np.int8), np.zeros(0, np.int8), np.zeros(0, bool))
     seen = lexicon.properties(ids)
     hashes, kind = seen["hash"], seen["kind"]
     inside = np.r_[False, ~seen["ends"][:-1]]
     after_number = np.r_[False, kind[:-1] == 1]
-    slot = np.where(kind == 1, 1, np.where((kind == 2) & after_number, 2, np.where(seen["capital"] & inside, 3, 0))).astype(np.int8)
-    hashes[slot == 2] = xxhash.xxh64_intdigest(UNIT, SEED)
-    hashes[slot == 3] = xxhash.xxh64_intdigest(NAME, SEED)
-    return hashes, raws, slot
+    slot = np.where(kind == 1, 1, np.where((kind == 2) & after_number, 2, np.where(seen["capital"], 3, 0))).astype(np.int8)
+    hashes[slot == 2] = placeholder(UNIT)
+    return Words(hashes, raws, slot, kind, inside)
+
+
+def placeholder(name: str) -> np.uint64:
+    import xxhash
+
+    return np.uint64(xxhash.xxh64_intdigest(name, SEED))
 
 
-def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Hash of every run of ``size`` canonical words."""
+def window_hashes(hashes: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every run of ``size`` canonical words; ``first`` has the hashes of words that begin a window."""
     n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, "<u8")
     out = np.zeros(n, "<u8")
     for k in range(size):
-        out = (out ^ hashes[k : k + n]) * MULTIPLIER
+        out = (out ^ (hashes if k else first)[k : k + n]) * MULTIPLIER
         out ^= out >> np.uint64(29)
     return out
 
 
-def _values(raws: list[str], slot: np.ndarray, a: int, b: int) -> str:
-    """Values behind the placeholders of a window: place, kind, value."""
-    return "\n".join(f"{k - a}\t{slot[k]}\t{raws[k].strip(STRIP).lower()}" for k in range(a, b) if slot[k])
+def _running(flags: np.ndarray, size: int) -> np.ndarray:
+    """How many of every ``size`` neighbours are set."""
+    total = np.r_[0, np.cumsum(flags)]
+    return total[size:] - total[:-size]
+
+
+def windows(words: Words, size: int, named: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, places) of the windows that count, with placeholders for names or with the names themselves.
+
+    What counts depends on the words of the window alone: one that begins with a unit may follow a number or not, so that
+    unit is always a placeholder. Without placeholders for names only windows that hold a name are listed.
+    """
+    if len(words.raws) < size:
+        return np.zeros(0, "<u8"), np.zeros(0, np.int64)
+    hashes, slot = words.hashes, words.slot
+    if named:
+        hashes = np.where(slot == 3, placeholder(NAME), hashes)
+        plain = slot == 0
+    else:
+        plain = (slot == 0) | (slot == 3)
+    loose = words.kind == 2
+    out = window_hashes(hashes, np.where(loose, placeholder(UNIT), hashes), size)
+    kept = _running(plain, size) - (plain & loose)[: len(out)] >= min(PLAIN_WORDS, size)
+    if not named:
+        kept &= _running(slot == 3, size) > 0
+    return out[kept], np.flatnonzero(kept)
+
+
+def _values(words: Words, a: int, b: int, named: bool, names: set[str] | None = None) -> str:
+    """Values behind the placeholders of a window: place, kind, value. Kind is 4 for a name that is not in ``names``."""
+    out = []
+    for k in range(a, b):
+        slot = 2 if k == a and words.kind[k] == 2 else words.slot[k]
+        if slot and (named or slot != 3):
+            value = words.raws[k].strip(STRIP).lower()
+            out.append(f"{k - a}\t{4 if slot == 3 and names is not None and value not in names else slot}\t{value}")
+    return "\n".join(out)
 
 
 WINDOWS = "hash long, place long, slots string"
@@ -144,14 +194,14 @@ def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             rows = []
             for item, variant, text in zip(*(batch.column(c).to_pylist() for c in ("item_id", "variant", "text"))):
-                hashes, raws, slot = canonical(text or "", lexicon)
-                width = min(size, len(hashes))
-                if width:
-                    plain = np.convolve(slot == 0, np.ones(width, np.int64), "valid")
-                    for k, h in enumerate(window_hashes(hashes, width).view("<i8").tolist()):
-                        if plain[k] < min(PLAIN_WORDS, width):
-                            continue
-                        rows.append((item, variant, len(hashes), width, h, k, _values(raws, slot, k, k + width)))
+                words = canonical(text or "", lexicon)
+                n = len(words.raws)
+                width = min(size, n)
+                names = {words.raws[k].strip(STRIP).lower() for k in np.flatnonzero((words.slot == 3) & words.inside).tolist()}
+                for named in (True, False) if width else ():
+                    hashes, places = windows(words, width, named)
+                    for h, k in zip(hashes.view("<i8").tolist(), places.tolist()):
+                        rows.append((item, variant, n, width, h, k, _values(words, k, k + width, named, names)))
             types = [batch.schema.field("item_id").type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
             columns = list(zip(*rows)) or [()] * 7
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=["item_id", "variant", "n_words", "width", "hash", "place", "slots"])
@@ -182,15 +232,15 @@ def document_windows(docs: DataFrame, marks: np.ndarray, widths: list[int]) -> D
         for batch in batches:
             at, found, places, slots = [], [], [], []
             for i, text in enumerate(batch.column("text")):
-                hashes, raws, slot = canonical(text.as_py() or "", lexicon)
-                for width in widths:
-                    own = window_hashes(hashes, width)
+                words = canonical(text.as_py() or "", lexicon)
+                for width, named in product(widths, (True, False)):
+                    own, where = windows(words, width, named)
                     low = own & mask
                     hits = np.flatnonzero(bits[low >> np.uint64(6)] >> (low & np.uint64(63)) & np.uint64(1))
-                    for k in hits.tolist():
+                    for k in where[hits].tolist():
                         at.append(i)
                         places.append(k)
-                        slots.append(_values(raws, slot, k, k + width))
+                        slots.append(_values(words, k, k + width, named))
                     found.append(own[hits])
                 if len(lexicon) > CACHE:
                     lexicon = Lexicon()
@@ -231,8 +281,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share:
         parts(p["_slots"]), parts(p["slots"]),
         lambda i, d: F.struct(i[1].alias("kind"), i[2].alias("own"), d[2].alias("other"))))
     stretch = stretch.withColumns({"words": covered.cast("long"), "_values": F.array_distinct(F.flatten(values))})
-    # A number or name of the item stands for one value of the document throughout; units may differ freely.
-    named = F.filter("_values", lambda v: v["kind"] != "2")
+    # A number or name of the item stands for one value of the document throughout; units and openings may differ freely.
+    named = F.filter("_values", lambda v: ~v["kind"].isin("2", "4"))
     keys = F.array_distinct(F.transform(named, lambda v: F.struct(v["kind"], v["own"])))
     stretch = stretch.withColumns({
         "_fits": F.size(keys) == F.size(named),

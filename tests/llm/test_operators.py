@@ -397,6 +397,27 @@ def test_no_items(spark, empty):
     assert decontaminate.matches(empty, spark.createDataFrame([(1, PROSE)], "item_id long, text string")).count() == 0
 
 
+def shares(spark, item, *texts):
+    """Share of ``item`` in each text, and whether the values are the same; None where it is not found."""
+    found = decontaminate.matches(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    got = {r.doc_id: (round(r.share, 2), r.same_values) for r in found.collect()}
+    return [got.get(k) for k in range(len(texts))]
+
+
+OPENINGS = "Anna has 12 apples. Tom has 3 more than Anna. Eva has twice as many apples as Tom. Anna then sells 5 of hers. How many apples do they have now?"
+GERMAN = "Die Lehrerin verteilt 12 Hefte an die Kinder. Danach bleiben noch 4 Hefte auf dem Tisch neben der Tafel liegen."
+
+
+def test_names_count_wherever_they_stand(spark):
+    others = OPENINGS.replace("Anna", "Bert").replace("Tom", "Ida").replace("Eva", "Max").replace("12", "40")
+    assert shares(spark, OPENINGS, others, OPENINGS.lower(), "so we ask " + others, others.replace("than Bert", "than Max")) == [
+        (1.0, False), (1.0, True), (1.0, False), None]
+    assert shares(spark, GERMAN, GERMAN.lower(), GERMAN.upper(), GERMAN.lower().replace("12", "15")) == [(1.0, True), (1.0, True), (1.0, False)]
+    assert shares(spark, "Name three large rivers", "please Name three large rivers", "now name three large rivers here") == [(1.0, True)] * 2
+    assert shares(spark, "Days pass slowly for sailors", "after 3 days pass slowly for sailors") == [(1.0, True)]
+
+
 # ---- 10 language ----------------------------------------------------------------------------------------------------
 
 
