@@ -9,6 +9,10 @@ Every capitalised word is a name, at the start of a sentence too, so a word's sl
 item. Windows with names are filed a second time with the words themselves, case folded, for copies in other case. Words
 that the item has capitalised at the start of sentences only may be no names: their values need not go together.
 
+Names that stand side by side, and the words of a spelled-out number, are one slot. The windows of an item at one distance
+from its own places are a stretch; stretches whose distances differ by a few words and that follow in order are
+joined, so a word more or less does not hide a copy.
+
 Windows are found by a hash join. Before it, each task drops windows whose hash is not in a bitmap of the items' hashes;
 the bitmap has a fixed size, and lets no true window be lost. The items' side is broadcast only after its windows have
 been counted; beyond the bound the join shuffles both sides.
@@ -22,16 +26,18 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import product
+from itertools import groupby
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 WINDOW = 8  # canonical words
 SHARE = 0.6  # of an item's words that a document must hold, in place
 PLAIN_WORDS = 3  # a window with fewer words besides placeholders says nothing
+DRIFT = 8  # words by which the distances of joined stretches differ, or a quarter of the item's words when that is more
 BITMAP_BITS = 24  # 2 MB
 BROADCAST_WINDOWS = 200_000
 # Units of measure, money and time.
@@ -40,7 +46,10 @@ UNITS = frozenset(
     "liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month "
     "months year years percent % $ € £ dollar dollars cent cents euro euros pound pounds mph kmh degree degrees watt watts".split()
 )
-NUMBERS = frozenset("one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million half".split())
+NUMBERS = {w: n for n, w in enumerate(
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
+NUMBERS |= {w: 10 * n for n, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split(), 2)}
+NUMBERS |= {"hundred": 100, "thousand": 1000, "million": 1_000_000, "half": None}
 NUMERIC = re.compile(r"[$€£]?[+-]?\d[\d.,:/]*(?:st|nd|rd|th)?%?")
 STRIP = ".,;:!?\"'()[]{}<>|#*&%$+=~`_-–—…«»“”‘’"
 NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
@@ -53,9 +62,9 @@ class Lexicon(dict):
     """Raw word to the row of its properties; a word is looked at once."""
 
     def __init__(self) -> None:
-        self.rows: list[tuple[int, int, bool, bool]] = []
+        self.rows: list[tuple[int, int, bool, bool, bool, bool, bool]] = []
         self.known = 0  # rows that are in the table
-        self.table = np.zeros(1024, [("hash", "<u8"), ("kind", "i1"), ("capital", "?"), ("ends", "?")])
+        self.table = np.zeros(1024, [("hash", "<u8"), ("kind", "i1"), ("capital", "?"), ("ends", "?"), ("opens", "?"), ("closes", "?"), ("spelled", "?")])
 
     def __missing__(self, raw: str) -> int:
         found = look(raw)
@@ -76,8 +85,9 @@ class Lexicon(dict):
         return self.table[ids]
 
 
-def look(raw: str) -> tuple[int, int, bool, bool] | None:
-    """(hash, kind, starts with a capital, ends a sentence) of a raw word; None for one of signs alone.
+def look(raw: str) -> tuple[int, int, bool, bool, bool, bool, bool] | None:
+    """(hash, kind, starts with a capital, ends a sentence, no sign before it, none after it, spelled-out number) of a raw
+    word; None for one of signs alone.
 
     Kind is 1 for a number, 2 for what would be a unit, otherwise 0.
     """
@@ -86,43 +96,72 @@ def look(raw: str) -> tuple[int, int, bool, bool] | None:
     word = raw.strip(STRIP)
     low = word.lower()
     if word == raw and word.isalpha() and low not in UNITS and low not in NUMBERS:  # most words
-        return xxhash.xxh64_intdigest(low, SEED), 0, word[0].isupper() and not word.isupper(), False
+        return xxhash.xxh64_intdigest(low, SEED), 0, word[0].isupper() and not word.isupper(), False, True, True, False
     ends = raw.rstrip("\"')]»”’")[-1:] in (".", "!", "?")
-    if low in NUMBERS or not word.isalpha() and NUMERIC.fullmatch(raw.strip(".,;:!?\"'()[]")):
-        return xxhash.xxh64_intdigest(NUMBER, SEED), 1, False, ends
+    sides = raw[0].isalnum(), raw[-1].isalnum()
+    spelled = bool(low) and all(part in NUMBERS for part in low.split("-"))
+    if spelled or not word.isalpha() and NUMERIC.fullmatch(raw.strip(".,;:!?\"'()[]")):
+        return xxhash.xxh64_intdigest(NUMBER, SEED), 1, False, ends, *sides, spelled
     if not word and raw not in UNITS:
         return None
     if not word or low in UNITS:
-        return xxhash.xxh64_intdigest(low or raw, SEED), 2, False, ends
-    return xxhash.xxh64_intdigest(low, SEED), 0, word[:1].isupper() and not word.isupper(), ends
+        return xxhash.xxh64_intdigest(low or raw, SEED), 2, False, ends, *sides, False
+    return xxhash.xxh64_intdigest(low, SEED), 0, word[:1].isupper() and not word.isupper(), ends, *sides, False
+
+
+def number_value(words: list[str]) -> str:
+    """Digits of a number of spelled-out words, possibly after one in digits; the words as they are when they make none."""
+    total = current = 0
+    for k, part in enumerate(p for w in words for p in w.split("-")):
+        value = NUMBERS.get(part)
+        if value is None:
+            if k or not part.isdigit() or len(words) == 1:
+                return " ".join(words)
+            current = int(part)
+        elif value >= 1000:
+            total, current = total + max(current, 1) * value, 0
+        elif value == 100 and current < 100:
+            current = max(current, 1) * 100
+        elif k and (value == 0 or current % (10 if value < 10 else 100) or value < 10 and current % 100 == 10):
+            return " ".join(words)
+        else:
+            current += value
+    return str(total + current)
 
 
 class Words(NamedTuple):
     """Canonical words: hashes with names as they are, raw words, slots (0 none, 1 number, 2 unit, 3 name), kinds as of
-    ``look``, and which begin no sentence. A unit is one only after a number."""
+    ``look``, which begin no sentence, and which share the slot of the word before. A unit is one only after a number."""
 
     hashes: np.ndarray
     raws: list[str]
     slot: np.ndarray
     kind: np.ndarray
     inside: np.ndarray
+    joined: np.ndarray
 
 
 def canonical(text: str, lexicon: Lexicon) -> Words:
     raws = text.split()
     ids = np.fromiter(map(lexicon.__getitem__, raws), np.int64, len(raws))
+    apart = np.zeros(len(ids), bool)  # signs stand before the word
     if len(ids) and ids.min() < 0:
         raws = [r for r, k in zip(raws, ids.tolist()) if k >= 0]
-        ids = ids[ids >= 0]
+        places = np.flatnonzero(ids >= 0)
+        apart = np.diff(places, prepend=-1) > 1
+        ids = ids[places]
     if not len(ids):
-        return Words(np.zeros(0, "<u8"), [], np.zeros(0, np.int8), np.zeros(0, np.int8), np.zeros(0, bool))
+        return Words(np.zeros(0, "<u8"), [], np.zeros(0, np.int8), np.zeros(0, np.int8), *[np.zeros(0, bool)] * 2)
     seen = lexicon.properties(ids)
     hashes, kind = seen["hash"], seen["kind"]
     inside = np.r_[False, ~seen["ends"][:-1]]
     after_number = np.r_[False, kind[:-1] == 1]
     slot = np.where(kind == 1, 1, np.where((kind == 2) & after_number, 2, np.where(seen["capital"], 3, 0))).astype(np.int8)
     hashes[slot == 2] = placeholder(UNIT)
-    return Words(hashes, raws, slot, kind, inside)
+    joined = (slot == 3) | seen["spelled"]
+    joined[0] = False
+    joined[1:] &= (slot[1:] == slot[:-1]) & seen["closes"][:-1] & seen["opens"][1:] & ~apart[1:]
+    return Words(hashes, raws, slot, kind, inside, joined)
 
 
 def placeholder(name: str) -> np.uint64:
@@ -149,44 +188,66 @@ def _running(flags: np.ndarray, size: int) -> np.ndarray:
     return total[size:] - total[:-size]
 
 
-def windows(words: Words, size: int, named: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, places) of the windows that count, with placeholders for names or with the names themselves.
+def _joined(words: Words, named: bool) -> np.ndarray:
+    return words.joined if named else words.joined & (words.slot == 1)
+
 
-    What counts depends on the words of the window alone: one that begins with a unit may follow a number or not, so that
-    unit is always a placeholder. Without placeholders for names only windows that hold a name are listed.
+def windows(words: Words, size: int, named: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, first word, last word of the first slot, word after the last) of the windows that count.
+
+    With placeholders for names (``named``) joined words are one; else the names themselves count, each on its own, and only
+    windows that hold a name are listed. What counts depends on the words of the window alone: one that begins with a
+    unit may follow a number or not, so that unit is always a placeholder.
     """
-    if len(words.raws) < size:
-        return np.zeros(0, "<u8"), np.zeros(0, np.int64)
-    hashes, slot = words.hashes, words.slot
+    n = len(words.raws)
+    start = np.flatnonzero(~_joined(words, named))
+    if len(start) < size:
+        return np.zeros(0, "<u8"), *[np.zeros(0, np.int64)] * 3
+    end = np.r_[start[1:], n]
+    hashes, slot, loose = words.hashes[start], words.slot[start], words.kind[start] == 2
     if named:
         hashes = np.where(slot == 3, placeholder(NAME), hashes)
         plain = slot == 0
     else:
         plain = (slot == 0) | (slot == 3)
-    loose = words.kind == 2
     out = window_hashes(hashes, np.where(loose, placeholder(UNIT), hashes), size)
     kept = _running(plain, size) - (plain & loose)[: len(out)] >= min(PLAIN_WORDS, size)
     if not named:
         kept &= _running(slot == 3, size) > 0
-    return out[kept], np.flatnonzero(kept)
+    at = np.flatnonzero(kept)
+    return out[at], start[at], end[at] - 1, end[at + size - 1]
 
 
 def _values(words: Words, a: int, b: int, named: bool, names: set[str] | None = None) -> str:
-    """Values behind the placeholders of a window: place, kind, value. Kind is 4 for a name that is not in ``names``."""
-    out = []
-    for k in range(a, b):
+    """Values behind the placeholders of a window: kind, value.
+
+    For an item, with its ``names``, also the key whose value must be the same throughout (empty when it need not be), and
+    whether the slot is at the beginning or the end of the item, where a document's slot may take in more words.
+    """
+    out, k = [], a
+    while k < b:
         slot = 2 if k == a and words.kind[k] == 2 else words.slot[k]
+        end = k + 1
+        while end < b and words.joined[end] and (named or slot == 1):
+            end += 1
         if slot and (named or slot != 3):
-            value = words.raws[k].strip(STRIP).lower()
-            out.append(f"{k - a}\t{4 if slot == 3 and names is not None and value not in names else slot}\t{value}")
+            parts = [words.raws[i].strip(STRIP).lower() for i in range(k, end)]
+            value = number_value(parts) if slot == 1 else " ".join(parts)
+            line = f"{slot}\t{value}"
+            if names is not None:
+                key = value if slot == 1 else " ".join(p for p in parts if p in names) if slot == 3 else ""
+                line += f"\t{key}\t{'<' * (k == 0)}{'>' * (end == len(words.raws))}"
+            out.append(line)
+        k = end
     return "\n".join(out)
 
 
-WINDOWS = "hash long, place long, slots string"
+WINDOWS = "hash long, place long, slots string"  # place: last word of the first slot
 
 
 def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
-    """(item_id, variant, n_words, hash, place, slots): all windows of the items; variant tells texts of one id apart."""
+    """(item_id, variant, n_words, width, low, high, hash, place, slots): all windows of the items, from word ``low`` to
+    before ``high``; variant tells texts of one id apart."""
     kind = benchmark.schema["item_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,18 +257,19 @@ def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
             for item, variant, text in zip(*(batch.column(c).to_pylist() for c in ("item_id", "variant", "text"))):
                 words = canonical(text or "", lexicon)
                 n = len(words.raws)
-                width = min(size, n)
                 names = {words.raws[k].strip(STRIP).lower() for k in np.flatnonzero((words.slot == 3) & words.inside).tolist()}
-                for named in (True, False) if width else ():
-                    hashes, places = windows(words, width, named)
-                    for h, k in zip(hashes.view("<i8").tolist(), places.tolist()):
-                        rows.append((item, variant, n, width, h, k, _values(words, k, k + width, named, names)))
-            types = [batch.schema.field("item_id").type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            columns = list(zip(*rows)) or [()] * 7
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=["item_id", "variant", "n_words", "width", "hash", "place", "slots"])
+                for named in (True, False) if n else ():
+                    width = min(size, int((~_joined(words, named)).sum()))
+                    hashes, *ranges = windows(words, width, named)
+                    for h, a, k, b in zip(hashes.view("<i8").tolist(), *(r.tolist() for r in ranges)):
+                        rows.append((item, variant, n, width, a, b, h, k, _values(words, a, b, named, names)))
+            types = [batch.schema.field("item_id").type, *[pa.int64()] * 7, pa.string()]
+            columns = list(zip(*rows)) or [()] * len(types)
+            names = ["item_id", "variant", "n_words", "width", "low", "high", "hash", "place", "slots"]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     rows = benchmark.select("item_id", F.xxhash64("text").alias("variant"), "text").dropDuplicates(["item_id", "variant"])
-    return rows.mapInArrow(work, f"item_id {kind}, variant long, n_words long, width long, {WINDOWS}")
+    return rows.mapInArrow(work, f"item_id {kind}, variant long, n_words long, width long, low long, high long, {WINDOWS}")
 
 
 def bitmap(windows: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
@@ -220,7 +282,7 @@ def bitmap(windows: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
     return out.view("<u8")
 
 
-def document_windows(docs: DataFrame, marks: np.ndarray, widths: list[int]) -> DataFrame:
+def document_windows(docs: DataFrame, marks: np.ndarray, widths: list[tuple[int, bool]]) -> DataFrame:
     """(doc_id, hash, place, slots): the windows of ``docs`` that the bitmap lets through; slots are the values behind placeholders."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(marks)
@@ -233,14 +295,14 @@ def document_windows(docs: DataFrame, marks: np.ndarray, widths: list[int]) -> D
             at, found, places, slots = [], [], [], []
             for i, text in enumerate(batch.column("text")):
                 words = canonical(text.as_py() or "", lexicon)
-                for width, named in product(widths, (True, False)):
-                    own, where = windows(words, width, named)
+                for width, named in widths:
+                    own, *ranges = windows(words, width, named)
                     low = own & mask
                     hits = np.flatnonzero(bits[low >> np.uint64(6)] >> (low & np.uint64(63)) & np.uint64(1))
-                    for k in where[hits].tolist():
+                    for a, k, b in zip(*(r[hits].tolist() for r in ranges)):
                         at.append(i)
                         places.append(k)
-                        slots.append(_values(words, k, k + width, named))
+                        slots.append(_values(words, a, b, named))
                     found.append(own[hits])
                 if len(lexicon) > CACHE:
                     lexicon = Lexicon()
@@ -253,45 +315,121 @@ def document_windows(docs: DataFrame, marks: np.ndarray, widths: list[int]) -> D
     return docs.select("doc_id", F.xxhash64("text").alias("_text"), "text").mapInArrow(work, f"doc_id {kind}, _text long, {WINDOWS}")
 
 
+def _pairs(own: str, other: str) -> set[tuple[str, str, str, str, bool]]:
+    """(kind, key, value in the item, value in the document, whether they are the same) of the slots of a window."""
+    out = set()
+    for i, d in zip(own.split("\n"), other.split("\n")) if own else ():
+        kind, value, key, edge = i.split("\t")
+        found = d.split("\t")[1]
+        same = value == found or "<" in edge and found.endswith(" " + value) or ">" in edge and found.startswith(value + " ")
+        out.add((kind, key, value, found, same))
+    return out
+
+
+def _fits(pairs: set[tuple[str, str, str, str, bool]]) -> bool:
+    """Every key stands for one value of the document throughout; a name may be cut: 'Maria Lopez' goes with 'Maria'."""
+    values: dict[tuple[str, str], set[str]] = {}
+    for kind, key, _, found, _ in pairs:
+        if key:
+            values.setdefault((kind, key), set()).add(found)
+    for (kind, _), found in values.items():
+        if len(found) > 1:
+            whole = set(max(found, key=lambda v: (len(v.split(" ")), v)).split(" "))
+            if kind != "3" or not all(whole & set(v.split(" ")) for v in found):
+                return False
+    return True
+
+
+def judge(n: int, hits: list[tuple[int, int, int, int, str, str]], share: float) -> tuple[int, bool] | None:
+    """(most words of an item of ``n`` words that a document holds in order, whether with the same values), None below the share.
+
+    ``hits`` has (place in the document, place in the item, first word, word after the last, slots of both) per window.
+    A stretch whose values contradict each other counts nowhere. Each of the others is joined with those near it, the
+    longest first; a joined stretch adds the words that follow in order, and none when its values contradict.
+    """
+    masks: dict[int, int] = {}
+    pairs: dict[int, set] = {}
+    for place, at, low, high, own, other in set(hits):
+        shift = place - at
+        masks[shift] = masks.get(shift, 0) | ((1 << high) - (1 << low))
+        pairs.setdefault(shift, set()).update(_pairs(own, other))
+    shifts = sorted(s for s in masks if _fits(pairs[s]))
+    reach = max(DRIFT, n // 4)
+    best = None
+    first = 0
+    for k, main in enumerate(shifts):
+        while shifts[first] < main - reach:
+            first += 1
+        near = []
+        for s in shifts[first : first + 2 * reach + 1]:
+            if s != main and s <= main + reach:
+                near.append(s)
+        bound = masks[main]
+        for s in near:
+            bound |= masks[s]
+        if bound.bit_count() < share * n:
+            continue
+        taken, covered, values = [main], masks[main], pairs[main]
+        own = {main: masks[main]}
+        for s in sorted(near, key=lambda s: (-masks[s].bit_count(), abs(s - main), s)):
+            new = masks[s] & ~covered
+            for t in taken:
+                for d in range(1, abs(s - t) + 1):
+                    new &= ~(own[t] >> d if s > t else own[t] << d)
+            if new and _fits(values | pairs[s]):
+                taken.append(s)
+                own[s] = new
+                covered |= new
+                values = values | pairs[s]
+        words = covered.bit_count()
+        if words >= share * n:
+            best = max(best or (0, False), (words, all(p[4] for p in values)))
+    return best
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """(doc_id, _text, item_id, words, share, same_values): documents that repeat an item, once per item.
 
-    ``words`` is the most words of the item that one stretch holds in place; ``same_values`` tells a copy from a
+    ``words`` is the most words of the item that joined stretches hold; ``same_values`` tells a copy from a
     re-parameterised one. ``_text`` is the hash of the document's text.
     """
     items = item_windows(benchmark, window)
     count = items.count()
-    # Only items shorter than the window have another width.
-    widths = sorted(r[0] for r in items.select("width").distinct().collect())
+    # Only items shorter than the window have another width. A window with a name may meet one without.
+    widths = sorted((r[0], named) for r in items.select("width").distinct().collect() for named in (True, False))
     found = document_windows(docs, bitmap(items), widths)
-    side = items.select("item_id", "variant", "n_words", "width", F.col("hash"), F.col("place").alias("_at"), F.col("slots").alias("_slots"))
+    side = items.select("item_id", "variant", "n_words", "hash", F.col("place").alias("_at"), "low", "high", F.col("slots").alias("_slots"))
     if count <= BROADCAST_WINDOWS:
         side = F.broadcast(side)
-    hits = found.join(side, "hash").withColumn("_shift", F.col("place") - F.col("_at"))
-    # One stretch: the windows of an item at one distance from its own places. At most as many as the item has.
-    stretch = hits.groupBy("doc_id", "_text", "item_id", "variant", "n_words", "_shift").agg(
-        F.sort_array(F.collect_set("_at")).alias("_places"), F.max("width").alias("_width"),
-        F.collect_set(F.when(F.col("slots") != "", F.struct("_at", "slots", "_slots"))).alias("_pairs"),
-    )
-    covered = F.size(F.array_distinct(F.flatten(F.transform(
-        "_places", lambda p: F.sequence(p, p + F.col("_width") - 1)))))
-    # (kind, value in the item, value in the document) of every placeholder in the stretch.
-    parts = lambda s: F.transform(F.split(s, "\n"), lambda x: F.split(x, "\t"))
-    values = F.transform("_pairs", lambda p: F.zip_with(
-        parts(p["_slots"]), parts(p["slots"]),
-        lambda i, d: F.struct(i[1].alias("kind"), i[2].alias("own"), d[2].alias("other"))))
-    stretch = stretch.withColumns({"words": covered.cast("long"), "_values": F.array_distinct(F.flatten(values))})
-    # A number or name of the item stands for one value of the document throughout; units and openings may differ freely.
-    named = F.filter("_values", lambda v: ~v["kind"].isin("2", "4"))
-    keys = F.array_distinct(F.transform(named, lambda v: F.struct(v["kind"], v["own"])))
-    stretch = stretch.withColumns({
-        "_fits": F.size(keys) == F.size(named),
-        "same_values": F.forall("_values", lambda v: v["own"] == v["other"]),
-        "share": F.col("words") / F.col("n_words"),
-    })
-    kept = stretch.where(F.col("_fits") & (F.col("share") >= share))
-    best = kept.groupBy("doc_id", "_text", "item_id").agg(F.max(F.struct("words", "share", "same_values")).alias("b"))
-    return best.select("doc_id", "_text", "item_id", "b.words", "b.share", "b.same_values")
+    keys = ["doc_id", "_text", "item_id"]
+    hits = found.join(side, "hash").select(*keys, "variant", "n_words", "place", "_at", "low", "high", "_slots", "slots")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        out: list[tuple] = []
+        for key, group in groupby(rows, key=lambda r: r[:3]):
+            best = None
+            for (_, n), texts in groupby(group, key=lambda r: r[3:5]):
+                got = judge(n, [r[5:] for r in texts], share)
+                if got is not None:
+                    best = max(best or (0, 0.0, False), (got[0], got[0] / n, got[1]))
+            if best is not None:
+                out.append((*key, *best))
+            if len(out) >= 4096:
+                yield _record(out, types)
+                out = []
+        if out:
+            yield _record(out, types)
+
+    types = [to_arrow_type(docs.schema["doc_id"].dataType), pa.int64(), to_arrow_type(benchmark.schema["item_id"].dataType), pa.int64(), pa.float64(), pa.bool_()]
+    kinds = [docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()]
+    ordered = hits.repartition(*keys).sortWithinPartitions(*keys, "variant")
+    return ordered.mapInArrow(work, f"doc_id {kinds[0]}, _text long, item_id {kinds[1]}, words long, share double, same_values boolean")
+
+
+def _record(rows: list[tuple], types: list[pa.DataType]) -> pa.RecordBatch:
+    names = ["doc_id", "_text", "item_id", "words", "share", "same_values"]
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **limits: float) -> DataFrame:

@@ -418,6 +418,22 @@ def test_names_count_wherever_they_stand(spark):
     assert shares(spark, "Days pass slowly for sailors", "after 3 days pass slowly for sailors") == [(1.0, True)]
 
 
+MARKET = ("this morning the old farmer from the village walked slowly to the market where Robert had 25 coins to spend on bread"
+          " and cheese for the long winter that was about to come over the hills")
+
+
+def test_words_more_or_less_do_not_hide_an_item(spark):
+    change = MARKET.replace
+    assert shares(spark, MARKET, MARKET, change("Robert", "Maria Lopez"), change("25", "twenty five"), change("25", "thirty one")) == [
+        (1.0, True), (1.0, False), (1.0, True), (1.0, False)]
+    near = shares(spark, MARKET, change("where", "where yesterday"), change("had 25", "25"), change("to the market", "market").lower())
+    assert all(got and got[0] > 0.7 and got[1] for got in near), near
+    words = MARKET.split()
+    assert shares(spark, MARKET, " ".join(words[17:] + words[:17]), " ".join(words[:17] + ["x"] * 40 + words[17:])) == [None, None]
+    assert [decontaminate.number_value(x.split()) for x in ("twenty five", "two hundred seven", "3 million", "one two", "twenty-one")] == [
+        "25", "207", "3000000", "one two", "21"]
+
+
 # ---- 10 language ----------------------------------------------------------------------------------------------------
 
 
