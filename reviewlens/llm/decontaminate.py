@@ -19,7 +19,8 @@ been counted; beyond the bound the join shuffles both sides.
 
 Nulls and ties: a null text, of a document or an item, has no word and matches nothing. Rows without doc_id are kept and
 reported as null; documents that tie on the id are reported together; items that tie on item_id count as one item per text.
-An item shorter than a window is one window of its own length. Empty tables give empty results. Extra columns are not read.
+An item shorter than a window is one window of its own length. Windows of numbers and units for the most part are compared
+with their values, so only verbatim copies of them are found; an item of one or two words with a number in it matches nothing. Empty tables give empty results. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 WINDOW = 8  # canonical words
 SHARE = 0.6  # of an item's words that a document must hold, in place
-PLAIN_WORDS = 3  # a window with fewer words besides placeholders says nothing
+PLAIN_WORDS = 3  # a window with fewer words besides placeholders is compared with its values; one with fewer words at all says nothing
 DRIFT = 8  # words by which the distances of joined stretches differ, or a quarter of the item's words when that is more
 BITMAP_BITS = 24  # 2 MB
 BROADCAST_WINDOWS = 200_000
@@ -51,6 +52,7 @@ NUMBERS = {w: n for n, w in enumerate(
 NUMBERS |= {w: 10 * n for n, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split(), 2)}
 NUMBERS |= {"hundred": 100, "thousand": 1000, "million": 1_000_000, "half": None}
 NUMERIC = re.compile(r"[$€£]?[+-]?\d[\d.,:/]*(?:st|nd|rd|th)?%?")
+PUNCTUATION = ".,;:!?\"'()[]"
 STRIP = ".,;:!?\"'()[]{}<>|#*&%$+=~`_-–—…«»“”‘’"
 NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
 SEED = 9
@@ -59,7 +61,7 @@ CACHE = 1 << 18  # raw words a task remembers
 
 
 class Lexicon(dict):
-    """Raw word to the row of its properties; a word is looked at once."""
+    """Raw word to the row of its properties; a word is looked at once. Signs alone get negative numbers below -1."""
 
     def __init__(self) -> None:
         self.rows: list[tuple[int, int, bool, bool, bool, bool, bool]] = []
@@ -69,7 +71,7 @@ class Lexicon(dict):
     def __missing__(self, raw: str) -> int:
         found = look(raw)
         if found is None:
-            row = -1
+            row = -2 - sign_hash(raw)
         else:
             row = len(self.rows)
             self.rows.append(found)
@@ -100,7 +102,7 @@ def look(raw: str) -> tuple[int, int, bool, bool, bool, bool, bool] | None:
     ends = raw.rstrip("\"')]»”’")[-1:] in (".", "!", "?")
     sides = raw[0].isalnum(), raw[-1].isalnum()
     spelled = bool(low) and all(part in NUMBERS for part in low.split("-"))
-    if spelled or not word.isalpha() and NUMERIC.fullmatch(raw.strip(".,;:!?\"'()[]")):
+    if spelled or not word.isalpha() and NUMERIC.fullmatch(raw.strip(PUNCTUATION)):
         return xxhash.xxh64_intdigest(NUMBER, SEED), 1, False, ends, *sides, spelled
     if not word and raw not in UNITS:
         return None
@@ -129,9 +131,18 @@ def number_value(words: list[str]) -> str:
     return str(total + current)
 
 
+def sign_hash(raw: str) -> int:
+    """62 bits of signs that stand alone; 0 for punctuation."""
+    import xxhash
+
+    signs = raw.strip(PUNCTUATION)
+    return xxhash.xxh64_intdigest(signs, SEED) >> 2 if signs else 0
+
+
 class Words(NamedTuple):
     """Canonical words: hashes with names as they are, raw words, slots (0 none, 1 number, 2 unit, 3 name), kinds as of
-    ``look``, which begin no sentence, and which share the slot of the word before. A unit is one only after a number."""
+    ``look``, which begin no sentence, and which share the slot of the word before, and hashes of the
+    signs between a word and the one before. A unit is one only after a number."""
 
     hashes: np.ndarray
     raws: list[str]
@@ -139,19 +150,26 @@ class Words(NamedTuple):
     kind: np.ndarray
     inside: np.ndarray
     joined: np.ndarray
+    signs: np.ndarray
 
 
 def canonical(text: str, lexicon: Lexicon) -> Words:
     raws = text.split()
     ids = np.fromiter(map(lexicon.__getitem__, raws), np.int64, len(raws))
-    apart = np.zeros(len(ids), bool)  # signs stand before the word
+    apart, signs = np.zeros(len(ids), bool), np.zeros(len(ids), "<u8")  # signs stand before the word
     if len(ids) and ids.min() < 0:
         raws = [r for r, k in zip(raws, ids.tolist()) if k >= 0]
         places = np.flatnonzero(ids >= 0)
         apart = np.diff(places, prepend=-1) > 1
+        signs = np.zeros(len(places), "<u8")
+        lone = np.flatnonzero(ids < -2)
+        after = np.searchsorted(places, lone)
+        for k, sign in zip(after.tolist(), (-2 - ids[lone]).tolist()):
+            if k < len(places):
+                signs[k] = (int(signs[k]) * 31 + sign) & 0xFFFFFFFFFFFFFFFF
         ids = ids[places]
     if not len(ids):
-        return Words(np.zeros(0, "<u8"), [], np.zeros(0, np.int8), np.zeros(0, np.int8), *[np.zeros(0, bool)] * 2)
+        return Words(np.zeros(0, "<u8"), [], np.zeros(0, np.int8), np.zeros(0, np.int8), *[np.zeros(0, bool)] * 2, np.zeros(0, "<u8"))
     seen = lexicon.properties(ids)
     hashes, kind = seen["hash"], seen["kind"]
     inside = np.r_[False, ~seen["ends"][:-1]]
@@ -161,7 +179,7 @@ def canonical(text: str, lexicon: Lexicon) -> Words:
     joined = (slot == 3) | seen["spelled"]
     joined[0] = False
     joined[1:] &= (slot[1:] == slot[:-1]) & seen["closes"][:-1] & seen["opens"][1:] & ~apart[1:]
-    return Words(hashes, raws, slot, kind, inside, joined)
+    return Words(hashes, raws, slot, kind, inside, joined, signs)
 
 
 def placeholder(name: str) -> np.uint64:
@@ -196,7 +214,7 @@ def windows(words: Words, size: int, named: bool) -> tuple[np.ndarray, np.ndarra
     """(hashes, first word, last word of the first slot, word after the last) of the windows that count.
 
     With placeholders for names (``named``) joined words are one; else the names themselves count, each on its own, and only
-    windows that hold a name are listed. What counts depends on the words of the window alone: one that begins with a
+    windows that hold a name or too few plain words are listed; the latter with all values and the signs between them. What counts depends on the words of the window alone: one that begins with a
     unit may follow a number or not, so that unit is always a placeholder.
     """
     n = len(words.raws)
@@ -213,11 +231,29 @@ def windows(words: Words, size: int, named: bool) -> tuple[np.ndarray, np.ndarra
     out = window_hashes(hashes, np.where(loose, placeholder(UNIT), hashes), size)
     kept = _running(plain, size) - (plain & loose)[: len(out)] >= min(PLAIN_WORDS, size)
     if not named:
-        kept &= _running(slot == 3, size) > 0
+        poor = ~kept
+        if size >= PLAIN_WORDS and poor.any():
+            first = literals(words, start, end)
+            out = np.where(poor, window_hashes(first ^ words.signs[start], first, size), out)
+            kept |= poor
+        kept &= poor | (_running(slot == 3, size) > 0)
     at = np.flatnonzero(kept)
     return out[at], start[at], end[at] - 1, end[at + size - 1]
 
 
+def literals(words: Words, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the words with their values; a number keeps its signs, one of several words is its digits."""
+    import xxhash
+
+    out = words.hashes[start]
+    for k in np.flatnonzero((words.slot[start] == 1) | (words.slot[start] == 2)).tolist():
+        parts = [words.raws[i].strip(PUNCTUATION).lower() for i in range(start[k], end[k])]
+        out[k] = xxhash.xxh64_intdigest("=" + number_value(parts), SEED)
+    for k in np.flatnonzero((words.kind[start] == 2) & (words.slot[start] != 2)).tolist():
+        out[k] = xxhash.xxh64_intdigest("=" + words.raws[start[k]].strip(PUNCTUATION).lower(), SEED)
+    return out
+
+
 def _values(words: Words, a: int, b: int, named: bool, names: set[str] | None = None) -> str:
     """Values behind the placeholders of a window: kind, value.
 

@@ -434,6 +434,15 @@ def test_words_more_or_less_do_not_hide_an_item(spark):
         "25", "207", "3000000", "one two", "21"]
 
 
+def test_items_of_numbers_are_found_verbatim(spark):
+    assert shares(spark, "What is 37 + 45?", "Then: what is 37 + 45? He knew.", "- What is 37 + 45?", "What is 37 - 45?", "What is 38 + 45?", "what is it") == [
+        (1.0, True), (1.0, True), None, None, None]
+    assert shares(spark, "Compute 12 * 7 - 3.", "x Compute 12 * 7 - 3. y", "compute 12 * 7 + 3.", "compute 12 * 7 - -3.") == [(1.0, True), None, None]
+    series = "2, 4, 8, 16, 32, 64, next number?"
+    assert shares(spark, series, "so 2, 4, 8, 16, 32, 64, next number? yes", series.replace("16", "15")) == [(1.0, True), None]
+    assert shares(spark, "5 km 300 m 20 cm", "run 5 km 300 m 20 cm now", "run 5 km 300 m 21 cm now") == [(1.0, True), None]
+
+
 # ---- 10 language ----------------------------------------------------------------------------------------------------
 
 
