@@ -5,8 +5,9 @@ Two ways to find which fingerprints meet:
 * ``near_duplicates``: radius 3. The 64 bits are cut into five strips; two fingerprints within three bits agree on two
   strips at least, so each is filed under its ten pairs of strips (25 or 26 bits). Exact.
 * ``similar_groups``: texts whose shingle sets have a Jaccard similarity of 0.8 or more. Their fingerprints differ in about
-  ten of 64 bits, too many for strips, so texts are filed under their least shingles instead; fingerprints within the
-  wide radius are candidates, nearest first, and every link is checked on the shingle sets.
+  ten of 64 bits, too many for strips, so texts are filed under their rarest shingles instead: in any order that holds for
+  all texts, two similar sets share one of their first shingles (prefix filter), so no link is missed. Fingerprints only
+  order the candidates, nearest first, and every link is checked on the shingle sets.
 
 Inside a file, fingerprints are compared as bit planes (``bitslice``). A large file is cut into chunks, and each pair of
 chunks is a task of its own with bounded memory; what leaves a task is a spanning forest or the nearest neighbours,
@@ -168,54 +169,84 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, chunk: int
 
 # ---- similarity of shingle sets -------------------------------------------------------------------------------------
 
-MINIMA = 10  # files per text; each needs three equal least shingles, so 0.8 is met with 1 - (1 - 0.8 ** 3) ** 10 = 0.999
-PER_FILE = 3
-WIDE_RADIUS = 18  # 0.8 differs in 9.7 bits of 64 on average, with a deviation of 2.9
+ORDER_BITS = 18  # counters of shingles, by which the rare ones come first; what shares a counter only costs time
+ORDER_FACTOR = np.uint32(0x9E3779B1)
 NEAREST = 4  # neighbours asked for in the first round
 GROWTH = 8  # and so many times as many in each following one
-# One permutation of the hashes per column: exclusive-or, then an odd factor.
-FLIP, FACTOR = np.random.default_rng(SEED).integers(0, 1 << 64, (2, MINIMA * PER_FILE), "<u8") | np.uint64(1)
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """Per row doc_id, _text (hash of the text), _node (hash of its shingle set), _fp, _keys (its files) and _set.
+    """Per row doc_id, _text (hash of the text), _node (hash of its shingle set), _fp and _set.
 
     ``_set`` holds the shingle set with 32 bits per shingle.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, _text long, _node long, _fp long, _keys array<long>, _set array<int>"
+    schema = f"doc_id {kind}, _text long, _node long, _fp long, _set array<int>"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            nodes, fps, keys, sets = [], [], [], []
+            nodes, fps, sets = [], [], []
             for t in batch.column("text"):
                 own = np.unique(shingle_hashes(t.as_py(), words))
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
                 fps.append(fingerprint(own))
-                if len(own):
-                    least = np.full(len(FLIP), 0xFFFFFFFFFFFFFFFF, "<u8")
-                    for k in range(0, len(own), SLAB):
-                        x = (own[k : k + SLAB, None] ^ FLIP) * FACTOR
-                        least = np.minimum(least, (x ^ (x >> np.uint64(32))).min(0))
-                    keys.append([xxhash.xxh64_intdigest(least[i : i + PER_FILE].tobytes(), i) for i in range(0, len(FLIP), PER_FILE)])
-                else:
-                    keys.append([])
                 sets.append(np.unique(own.astype("<u4")).view("<i4"))
-            flat = np.array([k for ks in keys for k in ks], "<u8").view("<i8")
-            offsets = pa.array(np.r_[0, np.cumsum([len(k) for k in keys])].astype("i4"))
-            set_offsets = pa.array(np.r_[0, np.cumsum([len(s) for s in sets])].astype("i4"))
+            offsets = pa.array(np.r_[0, np.cumsum([len(s) for s in sets])].astype("i4"))
             values = pa.array(np.concatenate(sets) if sets else np.zeros(0, "<i4"))
             yield pa.record_batch(
-                [batch.column("doc_id"), batch.column("_text"), _signed(nodes), _signed(fps),
-                 pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.ListArray.from_arrays(set_offsets, values)],
-                names=["doc_id", "_text", "_node", "_fp", "_keys", "_set"],
+                [batch.column("doc_id"), batch.column("_text"), _signed(nodes), _signed(fps), pa.ListArray.from_arrays(offsets, values)],
+                names=["doc_id", "_text", "_node", "_fp", "_set"],
             )
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("_text")).mapInArrow(work, schema)
 
 
+def _counter(shingles: np.ndarray) -> np.ndarray:
+    return shingles.view("<u4") * ORDER_FACTOR >> np.uint32(32 - ORDER_BITS)
+
+
+def frequencies(rows: DataFrame) -> np.ndarray:
+    """How many shingles of all sets fall on each of a fixed number of counters."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << ORDER_BITS, np.int64)
+        for batch in batches:
+            total += np.bincount(_counter(batch.column("_set").flatten().to_numpy()), minlength=len(total))
+        used = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(used), pa.array(total[used])], names=["counter", "n"])
+
+    out = np.zeros(1 << ORDER_BITS, np.int64)
+    for row in rows.select("_set").mapInArrow(work, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[row.counter] = row.n
+    return out
+
+
+def prefix(shingles: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The rarest shingles of a set, as many that two sets of the similarity share one of them."""
+    n = len(shingles)
+    first = n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
+    return shingles[np.lexsort((shingles, counts[_counter(shingles)]))[:first]]
+
+
+def prefixes(rows: DataFrame, similarity: float) -> DataFrame:
+    """(node, fp, size, keys) of all sets but empty ones; ``keys`` is the prefix of the set."""
+    shared = rows.sparkSession.sparkContext.broadcast(frequencies(rows))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [prefix(s.values.to_numpy(), shared.value, similarity) for s in batch.column("_set")]
+            offsets = pa.array(np.r_[0, np.cumsum([len(k) for k in keys])].astype("i4"))
+            values = pa.array(np.concatenate(keys) if keys else np.zeros(0, "<i4"))
+            yield pa.record_batch([batch.column("_node"), batch.column("_fp"), batch.column("size"), pa.ListArray.from_arrays(offsets, values)],
+                                  names=["node", "fp", "size", "keys"])
+
+    found = rows.where(F.size("_set") > 0).select("_node", "_fp", F.size("_set").alias("size"), "_set").mapInArrow(
+        work, "node long, fp long, size int, keys array<int>")
+    return found.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("size").alias("size"))
+
+
 def nearest(filed: DataFrame, radius: int, k: int, similarity: float, chunk: int) -> DataFrame:
     """(node, other, d): for every active node the ``k`` nearest others of another component beyond its floor, per task.
 
@@ -246,7 +277,7 @@ def nearest(filed: DataFrame, radius: int, k: int, similarity: float, chunk: int
     return _tasks(filed, chunk).mapInArrow(work, "node long, other long, d long")
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """(rows, groups): the sketches of ``docs``, and (node, root) of the nodes that have a similar one.
 
     Texts of one group are chained by Jaccard similarities of ``similarity`` or more of their sets of ``words``-word
@@ -255,9 +286,8 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rad
     candidates that could still connect two components are checked. A blank text has an empty set and no group.
     """
     rows = stage(sketches(docs, words))
-    once = stage(rows.where(F.size("_keys") > 0).groupBy(F.col("_node").alias("node")).agg(
-        F.first("_fp").alias("fp"), F.first("_keys").alias("keys"), F.first(F.size("_set")).alias("size")))
-    filed = once.select("node", "fp", "size", F.explode("keys").alias("key"))
+    once = stage(prefixes(rows, similarity))
+    filed = once.select("node", "fp", "size", F.explode(F.col("keys").cast("array<long>")).alias("key"))
     shared = filed.groupBy("key").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1").select("key")
     filed = stage(filed.join(shared, "key"))
     release(once)
@@ -271,7 +301,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rad
         open_files = here.groupBy("key").agg(F.max("active").alias("_open"), (F.min("label") != F.max("label")).alias("_mixed"))
         here = here.join(open_files.where("_open AND _mixed").select("key"), "key")
         ranked = F.row_number().over(Window.partitionBy("node").orderBy("d", "other"))
-        asked = stage(nearest(here, radius, k, similarity, chunk).distinct().withColumn("_rank", ranked).where(F.col("_rank") <= k))
+        asked = stage(nearest(here, 64, k, similarity, chunk).distinct().withColumn("_rank", ranked).where(F.col("_rank") <= k))
         pairs = asked.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         involved = pairs.select(F.col("a").alias("_node")).union(pairs.select(F.col("b").alias("_node"))).distinct()
         sets = rows.select("_node", "_set").join(involved, "_node").groupBy("_node").agg(F.first("_set").alias("s"))

@@ -121,6 +121,14 @@ def test_one_row_of_every_similar_group_stays(corpus, chunk, monkeypatch):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == sorted(least.values())
 
 
+def test_no_pair_at_the_similarity_is_missed(spark, empty):
+    # Four shingles within five, and 20 within 25: exactly 0.8.
+    texts = [" ".join("p%d_%d" % (i, k) for k in range(words)) for i in range(400) for words in (([9, 8], [29, 24])[i % 2])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).select("doc_id").collect()) == list(range(0, 800, 2))
+    assert simhash.keep_one(empty).count() == 0
+
+
 # ---- 3 toxicity -----------------------------------------------------------------------------------------------------
 
 
