@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reviewlens.llm.common import held_out, table
-from reviewlens.llm import chat, decontaminate, langid, mixing, quality, secrets, sharding, simhash, toxicity, warc
+from reviewlens.llm import chat, decontaminate, langid, mixing, quality, repair, secrets, sharding, simhash, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -86,6 +86,11 @@ def op10_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.repair_report(repair.diagnosed(repair.damage(given)))
+
+
 QUERIES: dict[str, Query] = {
     "op1_temperature_mix": op1_temperature_mix,
     "op2_simhash": op2_simhash,
@@ -97,6 +102,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_templates": op9_templates,
     "op10_gru_language": op10_gru_language,
+    "op13_repair": op13_repair,
 }
 
 ORACLES: dict[str, str] = {}
