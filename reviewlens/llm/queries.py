@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reviewlens.llm.common import held_out, table
-from reviewlens.llm import chat, decontaminate, langid, mixing, quality, repair, secrets, sharding, simhash, toxicity, warc
+from reviewlens.llm import chat, decontaminate, langid, mixing, pieces, quality, repair, secrets, sharding, simhash, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -86,6 +86,18 @@ def op10_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return pieces.decode(encoded, model).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return repair.repair_report(repair.diagnosed(repair.damage(given)))
@@ -102,6 +114,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_templates": op9_templates,
     "op10_gru_language": op10_gru_language,
+    "op12_pieces": op12_pieces,
     "op13_repair": op13_repair,
 }
 
