@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reviewlens.llm.common import held_out, table
-from reviewlens.llm import chat, decontaminate, langid, mixing, pieces, quality, repair, secrets, sharding, simhash, toxicity, warc
+from reviewlens.llm import chat, decontaminate, langid, mixing, pieces, quality, repair, secrets, sharding, simhash, toxicity, vector_codes, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -86,6 +86,11 @@ def op10_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learnt = vector_codes.learn_codes(table(spark, sf_dir, "embeddings"), keep=("label",))
+    return vector_codes.label_errors(learnt).withColumn("codebooks_sha256", F.lit(learnt.fingerprint))
+
+
 def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -114,8 +119,42 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_templates": op9_templates,
     "op10_gru_language": op10_gru_language,
+    "op11_vector_codes": op11_vector_codes,
     "op12_pieces": op12_pieces,
     "op13_repair": op13_repair,
 }
 
-ORACLES: dict[str, str] = {}
+
+def _vector_codes_sql(rounds: int = 6) -> str:
+    """One common table for every assignment and every update; parts are spelt out component by component."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""near{r} AS MATERIALIZED (
+  SELECT row, position, min(distance * 256 + entry) AS best FROM (
+    SELECT p.row, p.position, b.entry, sum((p.c - b.c) * (p.c - b.c)) AS distance
+    FROM parts p JOIN book{r} b USING (position, i) GROUP BY ALL) GROUP BY ALL)""")
+        if r < rounds:
+            steps.append(f"""book{r + 1} AS MATERIALIZED (
+  SELECT position, entry, i, coalesce(m.c, b.c) AS c FROM book{r} b LEFT JOIN (
+    SELECT position, CAST(best % 256 AS BIGINT) AS entry, i, CAST(floor(sum(c) / count(*)) AS BIGINT) AS c
+    FROM parts JOIN near{r} USING (row, position) GROUP BY ALL) m USING (position, entry, i))""")
+    return f"""WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+cells AS (SELECT row, vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS nth, len(embedding) // 8 AS width FROM kept),
+parts AS MATERIALIZED (SELECT row, vec_id, nth // width AS position, nth % width AS i, CAST(floor(4096 * x::DOUBLE) AS BIGINT) AS c FROM cells),
+book0 AS MATERIALIZED (
+  SELECT position, entry, i, c FROM parts JOIN (
+    SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept QUALIFY entry < 16) USING (vec_id)),
+{", ".join(steps)},
+coded AS (
+  SELECT row, string_agg(printf('%02x', CAST(best % 256 AS INTEGER)), '' ORDER BY position) AS code, CAST(sum(best // 256) AS BIGINT) AS error
+  FROM near{rounds} GROUP BY row)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY position, entry, i)) FROM book{rounds}) AS codebooks_sha256
+FROM kept JOIN coded USING (row)"""
+
+
+ORACLES: dict[str, str] = {
+    "op11_vector_codes": _vector_codes_sql(),
+}
