@@ -155,6 +155,69 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 FROM kept JOIN coded USING (row)"""
 
 
+def _repair_sql() -> str:
+    """The same costs without shared nodes: each state holds its cost in ten digits and its audit as one string, so the least string wins."""
+    add = lambda x, cost, letter: f"lpad((left({x}, 10)::BIGINT + {cost})::VARCHAR, 10, '0') || substr({x}, 11) || '{letter}'"
+    best = lambda *xs: f"least({', '.join(xs)})"
+    when = lambda test, x: f"CASE WHEN {test} THEN {x} END"
+    keep = lambda initial, *states: [when(f"NOT gone AND role[1] = '{initial}'", add(s, "extra", "K")) for s in states]
+    fit = lambda *states: [when("NOT gone", add(s, "extra + 1", "R")) for s in states]
+    user = lambda u, *states: best(u, *[add(s, 5, "I") for s in states])
+    step = f"""SELECT conv_id, n, u0_start AS start, u0_system AS system, {user('u0_user', 'u0_start', 'u0_system', 'u0_assistant')} AS "user", u0_assistant AS assistant FROM (
+      SELECT r.conv_id, r.n, {add('start', 2, 'D')} AS u0_start, {best(add('system', 2, 'D'), *keep('s', 'start'))} AS u0_system,
+        {best(add('"user"', 2, 'D'), *keep('u', 'start', 'system', 'assistant'), *fit('start', 'system', 'assistant'))} AS u0_user,
+        {best(add('assistant', 2, 'D'), *keep('a', '"user"'), *fit('"user"'))} AS u0_assistant
+      FROM run b JOIN faults r ON r.conv_id = b.conv_id AND r.n = b.n + 1)"""
+    return f"""WITH RECURSIVE bits AS (
+  SELECT i, i::BIGINT AS x, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(x ORDER BY i) AS steps FROM bits WHERE k = 8),
+fates AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(
+    list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: unicode(c)::BIGINT),
+    lambda a, b: xor(a >> 8, steps[(xor(a, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 20 AS fate FROM conversations, crc),
+damaged AS (
+  SELECT conv_id, turn::BIGINT AS turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, copy
+  FROM fates, unnest(CASE WHEN fate = 3 THEN [0, 1] ELSE [0] END) c(copy) WHERE fate <> 0),
+placed AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS n FROM damaged),
+marked AS (
+  SELECT *, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS seen,
+    regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) NOT IN ('.', '!', '?') AS cut,
+    coalesce(lag(role[1]) OVER (PARTITION BY conv_id ORDER BY n) || role[1] NOT IN ('su', 'ua', 'au'), false) AS illegal FROM placed),
+faults AS MATERIALIZED (
+  SELECT *, blank OR seen AS gone, seen AND NOT blank AS duplicate, cut AND NOT blank AND NOT seen AS truncated,
+    CASE WHEN cut AND NOT blank AND NOT seen THEN 5 ELSE 0 END AS extra FROM marked),
+run AS (
+  SELECT conv_id, 0::BIGINT AS n, '0000000000' AS start, NULL::VARCHAR AS system, '0000000005I' AS "user", '0000000010II' AS assistant
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL SELECT conv_id, n, start, system, "user", {best('assistant', add('"user"', 5, 'I'))} FROM ({step})),
+ends AS (
+  SELECT conv_id, left(won, 10)::BIGINT AS cost, substr(won, 11) AS audit FROM (
+    SELECT conv_id, {best('start', 'assistant')} AS won FROM run QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC) = 1)),
+letters AS (
+  SELECT conv_id, unnest(string_split(audit, '')) AS letter, generate_subscripts(string_split(audit, ''), 1) AS at_letter FROM ends WHERE audit <> ''),
+edits AS (
+  SELECT l.conv_id, letter, at_letter, CASE WHEN letter <> 'I' THEN count(*) FILTER (WHERE letter <> 'I') OVER w END AS n,
+    count(*) FILTER (WHERE letter <> 'D') OVER w AS place FROM letters l WINDOW w AS (PARTITION BY conv_id ORDER BY at_letter)),
+turns AS (
+  SELECT e.conv_id, e.at_letter, e.letter, e.place, coalesce(f.role, '') AS role, coalesce(f.text, '') AS text,
+    max((e.place = 1 AND e.letter = 'K' AND f.role[1] = 's')::INT) OVER (PARTITION BY e.conv_id) AS opened
+  FROM edits e LEFT JOIN faults f ON f.conv_id = e.conv_id AND f.n = e.n WHERE e.letter <> 'D'),
+told AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (place - opened) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text,
+    chr(10) ORDER BY at_letter) AS whole FROM turns GROUP BY conv_id),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+    count(*) FILTER (WHERE duplicate) AS duplicate, count(*) FILTER (WHERE truncated) AS truncated, count(*) FILTER (WHERE illegal) AS illegal
+  FROM faults GROUP BY conv_id)
+SELECT conv_id, {', '.join(f'coalesce({c}, 0)::BIGINT AS {c}' for c in ('gaps', 'blank', 'duplicate', 'truncated', 'illegal'))}, cost, audit,
+  sha256(coalesce(whole, '')) AS repaired_sha256
+FROM ends LEFT JOIN counts USING (conv_id) LEFT JOIN told USING (conv_id)"""
+
+
 ORACLES: dict[str, str] = {
     "op11_vector_codes": _vector_codes_sql(),
+    "op13_repair": _repair_sql(),
 }
