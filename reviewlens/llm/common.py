@@ -30,6 +30,19 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*names)
 
 
+#: Bytes of a batch that a Python worker gets. Spark's own bound is eight times as high, and is held on either side of the pipe.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """``df``, after telling its session to hand whole texts to Python workers in batches of bounded size.
+
+    Batches stay bounded by rows as well; a text longer than the bound is a batch of its own.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: recovery never goes further back than here."""
     spark = df.sparkSession

@@ -32,9 +32,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from reviewlens.llm.common import bound_batches
+
 WINDOW = 8  # canonical words
 SHARE = 0.6  # of an item's words that a document must hold, in place
 PLAIN_WORDS = 3  # a window with fewer words besides placeholders is compared with its values; one with fewer words at all says nothing
@@ -57,58 +60,79 @@ STRIP = ".,;:!?\"'()[]{}<>|#*&%$+=~`_-–—…«»“”‘’"
 NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
 SEED = 9
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-CACHE = 1 << 18  # raw words a task remembers
+CACHE = 1 << 18  # raw words a worker remembers
+
+
+#: Properties of a word as bits: kind in the lowest two, starts with a capital, ends a sentence, no sign before it, none
+#: after it, spelled-out number.
+KIND, CAPITAL, ENDS, OPENS, CLOSES, SPELLED = 3, 4, 8, 16, 32, 64
+PLAIN = OPENS | CLOSES
 
 
 class Lexicon(dict):
-    """Raw word to the row of its properties; a word is looked at once. Signs alone get negative numbers below -1."""
+    """Raw word to the number of its properties; a word is looked at once. Signs alone get negative numbers below -1.
+
+    A worker process keeps its lexicon from task to task.
+    """
 
     def __init__(self) -> None:
-        self.rows: list[tuple[int, int, bool, bool, bool, bool, bool]] = []
-        self.known = 0  # rows that are in the table
-        self.table = np.zeros(1024, [("hash", "<u8"), ("kind", "i1"), ("capital", "?"), ("ends", "?"), ("opens", "?"), ("closes", "?"), ("spelled", "?")])
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.fresh: list[tuple[int, int]] = []  # properties that are not in the table yet
+        self.size = 0
+        self.hashes, self.flags = np.zeros(1024, "<u8"), np.zeros(1024, np.uint8)
 
     def __missing__(self, raw: str) -> int:
         found = look(raw)
         if found is None:
             row = -2 - sign_hash(raw)
         else:
-            row = len(self.rows)
-            self.rows.append(found)
+            row = self.size + len(self.fresh)
+            self.fresh.append(found)
         self[raw] = row
         return row
 
-    def properties(self, ids: np.ndarray) -> np.ndarray:
-        while len(self.table) < len(self.rows):  # by doubling: a copy now and then, not one per text
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        if self.known < len(self.rows):
-            self.table[self.known : len(self.rows)] = self.rows[self.known :]
-            self.known = len(self.rows)
-        return self.table[ids]
+    def __reduce__(self):
+        return Lexicon, ()  # a worker starts with an empty one
 
+    def properties(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, flags)."""
+        if self.fresh:
+            end = self.size + len(self.fresh)
+            while len(self.hashes) < end:  # by doubling: a copy now and then, not one per text
+                self.hashes, self.flags = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hashes, self.flags))
+            self.hashes[self.size : end] = [h for h, _ in self.fresh]
+            self.flags[self.size : end] = [f for _, f in self.fresh]
+            self.size, self.fresh = end, []
+        return self.hashes[ids], self.flags[ids]
 
-def look(raw: str) -> tuple[int, int, bool, bool, bool, bool, bool] | None:
-    """(hash, kind, starts with a capital, ends a sentence, no sign before it, none after it, spelled-out number) of a raw
-    word; None for one of signs alone.
+
+def look(raw: str) -> tuple[int, int] | None:
+    """(hash, properties) of a raw word; None for one of signs alone.
 
     Kind is 1 for a number, 2 for what would be a unit, otherwise 0.
     """
-    import xxhash
-
+    last = raw[-1]
+    word = raw[:-1] if last in ".,;:!?" else raw
+    if word.isalpha():  # most words: letters, and at most one sign after them
+        low = word.lower()
+        if low not in UNITS and low not in NUMBERS:
+            flags = PLAIN if word is raw else OPENS | ENDS if last in ".!?" else OPENS
+            return xxhash.xxh64_intdigest(low, SEED), flags | CAPITAL if word[0].isupper() and not word.isupper() else flags
     word = raw.strip(STRIP)
     low = word.lower()
-    if word == raw and word.isalpha() and low not in UNITS and low not in NUMBERS:  # most words
-        return xxhash.xxh64_intdigest(low, SEED), 0, word[0].isupper() and not word.isupper(), False, True, True, False
-    ends = raw.rstrip("\"')]»”’")[-1:] in (".", "!", "?")
-    sides = raw[0].isalnum(), raw[-1].isalnum()
+    flags = ENDS if raw.rstrip("\"')]»”’")[-1:] in (".", "!", "?") else 0
+    flags |= (OPENS if raw[0].isalnum() else 0) | (CLOSES if raw[-1].isalnum() else 0)
     spelled = bool(low) and all(part in NUMBERS for part in low.split("-"))
     if spelled or not word.isalpha() and NUMERIC.fullmatch(raw.strip(PUNCTUATION)):
-        return xxhash.xxh64_intdigest(NUMBER, SEED), 1, False, ends, *sides, spelled
+        return xxhash.xxh64_intdigest(NUMBER, SEED), flags | 1 | (SPELLED if spelled else 0)
     if not word and raw not in UNITS:
         return None
     if not word or low in UNITS:
-        return xxhash.xxh64_intdigest(low or raw, SEED), 2, False, ends, *sides, False
-    return xxhash.xxh64_intdigest(low, SEED), 0, word[:1].isupper() and not word.isupper(), ends, *sides, False
+        return xxhash.xxh64_intdigest(low or raw, SEED), flags | 2
+    return xxhash.xxh64_intdigest(low, SEED), flags | (CAPITAL if word[:1].isupper() and not word.isupper() else 0)
 
 
 def number_value(words: list[str]) -> str:
@@ -133,8 +157,6 @@ def number_value(words: list[str]) -> str:
 
 def sign_hash(raw: str) -> int:
     """62 bits of signs that stand alone; 0 for punctuation."""
-    import xxhash
-
     signs = raw.strip(PUNCTUATION)
     return xxhash.xxh64_intdigest(signs, SEED) >> 2 if signs else 0
 
@@ -170,21 +192,20 @@ def canonical(text: str, lexicon: Lexicon) -> Words:
         ids = ids[places]
     if not len(ids):
         return Words(np.zeros(0, "<u8"), [], np.zeros(0, np.int8), np.zeros(0, np.int8), *[np.zeros(0, bool)] * 2, np.zeros(0, "<u8"))
-    seen = lexicon.properties(ids)
-    hashes, kind = seen["hash"], seen["kind"]
-    inside = np.r_[False, ~seen["ends"][:-1]]
-    after_number = np.r_[False, kind[:-1] == 1]
-    slot = np.where(kind == 1, 1, np.where((kind == 2) & after_number, 2, np.where(seen["capital"], 3, 0))).astype(np.int8)
+    hashes, flags = lexicon.properties(ids)
+    kind = flags & KIND
+    inside, after_number = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
+    inside[1:] = flags[:-1] & ENDS == 0
+    after_number[1:] = kind[:-1] == 1
+    slot = np.where(kind == 1, 1, np.where((kind == 2) & after_number, 2, np.where(flags & CAPITAL, 3, 0))).astype(np.int8)
     hashes[slot == 2] = placeholder(UNIT)
-    joined = (slot == 3) | seen["spelled"]
+    joined = (slot == 3) | (flags & SPELLED != 0)
     joined[0] = False
-    joined[1:] &= (slot[1:] == slot[:-1]) & seen["closes"][:-1] & seen["opens"][1:] & ~apart[1:]
+    joined[1:] &= (slot[1:] == slot[:-1]) & (flags[:-1] & CLOSES != 0) & (flags[1:] & OPENS != 0) & ~apart[1:]
     return Words(hashes, raws, slot, kind, inside, joined, signs)
 
 
 def placeholder(name: str) -> np.uint64:
-    import xxhash
-
     return np.uint64(xxhash.xxh64_intdigest(name, SEED))
 
 
@@ -195,14 +216,16 @@ def window_hashes(hashes: np.ndarray, first: np.ndarray, size: int) -> np.ndarra
         return np.zeros(0, "<u8")
     out = np.zeros(n, "<u8")
     for k in range(size):
-        out = (out ^ (hashes if k else first)[k : k + n]) * MULTIPLIER
+        out ^= (hashes if k else first)[k : k + n]
+        out *= MULTIPLIER
         out ^= out >> np.uint64(29)
     return out
 
 
 def _running(flags: np.ndarray, size: int) -> np.ndarray:
     """How many of every ``size`` neighbours are set."""
-    total = np.r_[0, np.cumsum(flags)]
+    total = np.zeros(len(flags) + 1, np.int64)
+    np.cumsum(flags, out=total[1:])
     return total[size:] - total[:-size]
 
 
@@ -221,7 +244,7 @@ def windows(words: Words, size: int, named: bool) -> tuple[np.ndarray, np.ndarra
     start = np.flatnonzero(~_joined(words, named))
     if len(start) < size:
         return np.zeros(0, "<u8"), *[np.zeros(0, np.int64)] * 3
-    end = np.r_[start[1:], n]
+    end = np.append(start[1:], n)
     hashes, slot, loose = words.hashes[start], words.slot[start], words.kind[start] == 2
     if named:
         hashes = np.where(slot == 3, placeholder(NAME), hashes)
@@ -243,8 +266,6 @@ def windows(words: Words, size: int, named: bool) -> tuple[np.ndarray, np.ndarra
 
 def literals(words: Words, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of the words with their values; a number keeps its signs, one of several words is its digits."""
-    import xxhash
-
     out = words.hashes[start]
     for k in np.flatnonzero((words.slot[start] == 1) | (words.slot[start] == 2)).tolist():
         parts = [words.raws[i].strip(PUNCTUATION).lower() for i in range(start[k], end[k])]
@@ -321,11 +342,10 @@ def bitmap(windows: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
 def document_windows(docs: DataFrame, marks: np.ndarray, widths: list[tuple[int, bool]]) -> DataFrame:
     """(doc_id, hash, place, slots): the windows of ``docs`` that the bitmap lets through; slots are the values behind placeholders."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(marks)
+    shared = docs.sparkSession.sparkContext.broadcast((marks, Lexicon()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon()
-        bits = shared.value
+        bits, lexicon = shared.value  # as long as the worker process, with the words it has met
         mask = np.uint64(len(bits) * 64 - 1)
         for batch in batches:
             at, found, places, slots = [], [], [], []
@@ -341,14 +361,14 @@ def document_windows(docs: DataFrame, marks: np.ndarray, widths: list[tuple[int,
                         slots.append(_values(words, a, b, named))
                     found.append(own[hits])
                 if len(lexicon) > CACHE:
-                    lexicon = Lexicon()
+                    lexicon.forget()
             values = np.concatenate(found) if found else np.zeros(0, "<u8")
             yield pa.record_batch(
                 [batch.column("doc_id").take(pa.array(at, pa.int64())), batch.column("_text").take(pa.array(at, pa.int64())),
                  pa.array(values.view("<i8")), pa.array(places, pa.int64()), pa.array(slots, pa.string())],
                 names=["doc_id", "_text", "hash", "place", "slots"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("_text"), "text").mapInArrow(work, f"doc_id {kind}, _text long, {WINDOWS}")
+    return bound_batches(docs).select("doc_id", F.xxhash64("text").alias("_text"), "text").mapInArrow(work, f"doc_id {kind}, _text long, {WINDOWS}")
 
 
 def _pairs(own: str, other: str) -> set[tuple[str, str, str, str, bool]]:
