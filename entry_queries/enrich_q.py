@@ -11,7 +11,7 @@ from reviewlens.functions.numeric import rounded
 from reviewlens.operators import enrich as E
 from reviewlens.operators import profile as P
 from reviewlens.session import scratch_path
-from reviewlens.sources.sample_tables import books_with_gaps, reference_catalog
+from reviewlens.sources.sample_tables import books_with_gaps, books_with_typos, reference_catalog
 
 GAPS = """
 gaps AS (
@@ -84,6 +84,28 @@ AFTER = """after AS (
     coalesce(r.publisher_std, g.publisher_std) AS publisher_std, coalesce(r.categories_std, g.categories_std) AS categories_std,
     coalesce(r.pub_year, g.pub_year) AS pub_year FROM gaps g LEFT JOIN results r USING (book_id))"""
 
+# The same with titles a few edits apart as a last strategy: every pair of distinct titles is compared.
+TYPOS = GAPS.replace("title_std, CASE", """CASE book_id % 3 WHEN 1 THEN title_std[1] || 'q' || title_std[3:]
+    WHEN 2 THEN title_std[1] || title_std[3:] ELSE title_std END AS title_std, CASE""", 1)
+NEAR = """
+cat_titles AS (SELECT t, count(*) AS uses FROM (SELECT DISTINCT key, t FROM cat_normed) WHERE t != '' GROUP BY t),
+near AS MATERIALIZED (
+  SELECT b.t, c.t AS other, levenshtein(b.t, c.t) AS edits, c.uses
+  FROM (SELECT DISTINCT t FROM normed WHERE t != '') b JOIN cat_titles c
+    ON b.t != c.t AND abs(length(b.t) - length(c.t)) <= 3 AND levenshtein(b.t, c.t) <=
+      CASE WHEN greatest(length(b.t), length(c.t)) >= 32 THEN 3 WHEN greatest(length(b.t), length(c.t)) >= 16 THEN 2
+        WHEN greatest(length(b.t), length(c.t)) >= 8 THEN 1 ELSE 0 END),
+near_found AS (SELECT t, sum(uses) AS n_found FROM near GROUP BY t)"""
+_NEAR_ROWS = """
+near_hits AS (
+  SELECT n.book_id, 5 AS strategy_rank, 'titulo_proximo' AS strategy, f.n_found, c.key, {score} AS similarity
+  FROM normed n JOIN near p ON p.t = n.t JOIN near_found f ON f.t = n.t JOIN (SELECT DISTINCT key, t FROM cat_normed) k ON k.t = p.other
+  JOIN catalog c ON c.key = k.key JOIN missing m ON m.book_id = n.book_id),
+hits AS (SELECT * FROM key_hits UNION ALL SELECT * FROM near_hits)"""
+_SCORE = HITS[HITS.index("f.key,") + len("f.key,") : HITS.index(" AS similarity\n  FROM book_keys")]
+NEAR_SEARCH = with_(BOOKS, TYPOS, MISSING, CATALOG, BOOK_KEYS, HITS.replace("hits AS (", "key_hits AS (", 1), NEAR,
+                    _NEAR_ROWS.replace("{score}", _SCORE), BEST)
+
 
 @query("en01", f"{BASE} SELECT * FROM missing")
 def en01(spark, sf):
@@ -233,6 +255,27 @@ def en07_stage(spark, sf):
     return staged.withColumn("similarity", rounded(F.col("similarity"), 9))
 
 
+def _near(spark, sf):
+    return E.enrich_missing(books_with_typos(spark, sf), reference_catalog(spark, sf), measure="edit", near=True)
+
+
+@query("en02_near", f"{with_(BOOKS, TYPOS, MISSING, CATALOG, BOOK_KEYS, HITS[: HITS.index('cat_authors')].rstrip().rstrip(','), NEAR)} "
+       "SELECT t, other, edits, CAST(n_found AS INTEGER) AS n_found FROM near JOIN near_found USING (t)")
+def en02_near(spark, sf):
+    return E.near_pairs(E.missing_records(books_with_typos(spark, sf)), reference_catalog(spark, sf))
+
+
+@query("en04_near", f"{NEAR_SEARCH} SELECT book_id, key AS catalog_key, strategy, CAST(n_found AS INTEGER) AS n_found FROM ranked WHERE rn = 1")
+def en04_near(spark, sf):
+    hits = E.match_scores(E.missing_records(books_with_typos(spark, sf)), reference_catalog(spark, sf), measure="edit", near=True)
+    return E.best_matches(hits).select("book_id", "catalog_key", "strategy", "n_found")
+
+
+@query("en07_near", f"{NEAR_SEARCH} SELECT * REPLACE ({rnd('similarity', 9)} AS similarity) FROM results")
+def en07_near(spark, sf):
+    return _near(spark, sf).withColumn("similarity", rounded(F.col("similarity"), 9))
+
+
 @query("pr12_sample")
 def pr12_sample(spark, sf):
     sample = E.diagnosis_sample(books_with_gaps(spark, sf))

@@ -2,7 +2,8 @@
 
 The reference catalogue is a DataFrame ``(key, title, author_name[], publisher[], publish_date[], subject[],
 first_publish_year)``. A book is looked up by up to four search strategies; each strategy is an equality key on both
-sides, and a search returns every catalogue row of the key. Rows are judged as they are joined: a book and strategy keep
+sides, and a search returns every catalogue row of the key. With ``near``, a fifth one returns the rows whose title is a few
+edits away (``near_titles``). Rows are judged as they are joined: a book and strategy keep
 one best hit per task, so nothing per key is gathered or ordered.
 """
 
@@ -19,6 +20,7 @@ from pyspark.sql.types import DoubleType
 from reviewlens.functions.numeric import count_where, percent, rounded
 from reviewlens.functions.text import search_author, search_title, year_in_text
 from reviewlens.operators.lookup import salted_lookup
+from reviewlens.operators.near_titles import near_titles
 from reviewlens.operators.ranking import top_per_group
 from reviewlens.operators.sampling import row_count, take_sample
 from reviewlens.session import cut_lineage
@@ -26,6 +28,7 @@ from reviewlens.session import cut_lineage
 # Strategies in the order they are tried, the single default strategy, and the matching rule.
 STRATEGIES = ["titulo_autor", "titulo_completo", "busca_geral", "palavras_chave"]
 DEFAULT_STRATEGY = "padrao"
+NEAR_STRATEGY = "titulo_proximo"  # titles a few edits apart, tried after all equality keys when it is asked for
 AUTHOR_BONUS, AUTHOR_MATCH = 0.2, 0.7
 ACCEPT, GOOD_ENOUGH, CERTAIN = 0.6, 0.8, 0.9
 FIELDS = ["authors_std", "publisher_std", "categories_std", "pub_year"]
@@ -120,12 +123,17 @@ def extract_fields(catalog: DataFrame) -> DataFrame:
     return catalog.select("key", *[c.alias(name) for name, c in _field_columns().items()])
 
 
-def _keyed(catalog: DataFrame, multiple: bool) -> DataFrame:
-    """Catalogue rows once per search key, with the number of rows that share the key."""
-    rows = catalog.select(
+def _titled(catalog: DataFrame) -> DataFrame:
+    """Catalogue rows with a searchable title ``t``."""
+    return catalog.select(
         "key", "title", "author_name", *[c.alias(n) for n, c in _field_columns().items()],
         search_title(F.col("title")).alias("t"),
     ).where(F.col("t") != "")
+
+
+def _keyed(catalog: DataFrame, multiple: bool) -> DataFrame:
+    """Catalogue rows once per search key, with the number of rows that share the key."""
+    rows = _titled(catalog)
     authors = F.array_distinct(F.filter(F.transform("author_name", search_author), lambda a: a.isNotNull()))
     keyed = rows.withColumn("a", F.coalesce(authors, F.array().cast("array<string>"))).select(
         "key", "title", "author_name", *FIELDS, F.inline(_strategy_keys(F.col("t"), F.col("a"), multiple))
@@ -143,27 +151,52 @@ def _common_share(a: Column, b: Column) -> Column:
     return F.coalesce(2.0 * shared / (F.length(a) + F.length(b)), F.lit(0.0))
 
 
+def _wanted(books: DataFrame) -> DataFrame:
+    """Books with a searchable title ``t``."""
+    return books.select(
+        "book_id",
+        F.col("title_std").alias("book_title"),
+        search_title(F.col("title_std")).alias("t"),
+        search_author(F.col("authors_std")).alias("book_author"),
+    ).where(F.col("t") != "")
+
+
+def near_pairs(books: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(t, other, edits, n_found): search titles of books, catalogue titles near them, and the catalogue rows near each book title."""
+    rows = _titled(catalog)
+    pairs = near_titles(_wanted(books), rows)
+    uses = rows.groupBy(F.col("t").alias("other")).agg(F.count(F.lit(1)).alias("_uses"))
+    counted = pairs.join(uses, "other")
+    found = counted.groupBy("t").agg(F.sum("_uses").cast("int").alias("n_found"))
+    return pairs.join(found, "t").select("t", "other", "edits", "n_found")
+
+
+def _near_hits(books: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Hits of the near titles, in the shape of the other strategies' hits."""
+    pairs = near_pairs(books, catalog).drop("edits")
+    wanted = _wanted(books).join(pairs, "t").drop("t")
+    return wanted.join(_titled(catalog).withColumnRenamed("t", "other"), "other").drop("other").withColumns(
+        {"strategy_rank": F.lit(len(STRATEGIES) + 1), "strategy": F.lit(NEAR_STRATEGY)})
+
+
 def match_scores(
-    books: DataFrame, catalog: DataFrame, multiple: bool = True, measure: str = "matching", above: float | None = None
+    books: DataFrame, catalog: DataFrame, multiple: bool = True, measure: str = "matching", above: float | None = None, near: bool = False
 ) -> DataFrame:
     """Every search hit with its similarity: title similarity plus the bonus for a matching author.
 
-    With ``above``, hits that cannot exceed it even with the bonus are dropped before the similarity is computed.
+    With ``above``, hits that cannot exceed it even with the bonus are dropped before the similarity is computed. With
+    ``near``, titles a few edits apart are hits of a last strategy.
     """
     rows = _keyed(catalog, multiple)
     wanted = (
-        books.select(
-            "book_id",
-            F.col("title_std").alias("book_title"),
-            search_title(F.col("title_std")).alias("t"),
-            search_author(F.col("authors_std")).alias("book_author"),
-        )
-        .where(F.col("t") != "")
+        _wanted(books)
         .select("book_id", "book_title", "book_author", F.inline(_strategy_keys(F.col("t"), _one_author(F.col("book_author")), multiple)))
         .withColumn("_k", F.concat_ws(":", "strategy_rank", "search_key"))
         .drop("search_key", "strategy_rank", "strategy")
     )
     hits = salted_lookup(wanted, rows, "_k", F.xxhash64("book_id"), "inner").drop("_k")
+    if near:
+        hits = hits.unionByName(_near_hits(books, catalog))
     if above is not None and measure == "matching":
         hits = hits.where(_common_share(F.lower("book_title"), F.lower("title")) + AUTHOR_BONUS > above)
     authors = F.transform("author_name", F.lower)
@@ -207,7 +240,7 @@ def best_matches(hits: DataFrame) -> DataFrame:
 
 
 def find_metadata(
-    books: DataFrame, catalog: DataFrame, multiple: bool = True, measure: str = "matching"
+    books: DataFrame, catalog: DataFrame, multiple: bool = True, measure: str = "matching", near: bool = False
 ) -> DataFrame:
     """``(book_id, fields, strategy, similarity, n_found)`` per book; no match gives NULL fields and similarity 0.
 
@@ -219,7 +252,7 @@ def find_metadata(
     queries = keyed.groupBy("_q").agg(
         F.min("book_id").alias("rep"), F.any_value("title_std").alias("title_std"), F.any_value("authors_std").alias("authors_std")
     )
-    hits = match_scores(queries.withColumnRenamed("rep", "book_id"), catalog, multiple, measure, above=ACCEPT)
+    hits = match_scores(queries.withColumnRenamed("rep", "book_id"), catalog, multiple, measure, above=ACCEPT, near=near)
     best = best_matches(hits).drop("catalog_key").withColumnRenamed("book_id", "rep")
     answers = queries.select("_q", "rep").join(best, "rep").drop("rep")
     return salted_lookup(keyed.select("book_id", "_q"), answers, "_q", F.xxhash64("book_id")).select(
@@ -245,13 +278,13 @@ def apply_enrichment(books: DataFrame, found: DataFrame, fill_only: bool = False
 
 
 def enrich_missing(
-    books: DataFrame, catalog: DataFrame, limit: int | None = None, measure: str = "matching"
+    books: DataFrame, catalog: DataFrame, limit: int | None = None, measure: str = "matching", near: bool = False
 ) -> DataFrame:
     """Search results for the books that lack a field, or for the first ``limit`` of them."""
     wanted = missing_records(books)
     if limit is not None:
         wanted = wanted.orderBy("book_id").limit(limit)
-    return find_metadata(wanted, catalog, measure=measure)
+    return find_metadata(wanted, catalog, measure=measure, near=near)
 
 
 def enrich_to_stage(books: DataFrame, catalog: DataFrame, path: str, measure: str = "matching", pieces: int = 16) -> DataFrame:

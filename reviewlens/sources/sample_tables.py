@@ -75,6 +75,14 @@ def books_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def books_with_typos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue with gaps, a letter of the first word wrong in a third of the titles and missing in another third."""
+    title, kind = F.col("title_std"), F.col("book_id") % 3
+    wrong = F.concat(F.substring(title, 1, 1), F.lit("q"), F.expr("substring(title_std, 3)"))
+    missing = F.concat(F.substring(title, 1, 1), F.expr("substring(title_std, 3)"))
+    return books_with_gaps(spark, sf_dir).withColumn("title_std", F.when(kind == 1, wrong).when(kind == 2, missing).otherwise(title))
+
+
 def reference_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second catalogue of the same items with reworded titles, for enrichment."""
     key = F.col("p_partkey")
