@@ -111,15 +111,21 @@ def pr09(spark, sf):
     return P.text_coverage(long_texts)
 
 
-# Samples: sizes and quotas are checked against SQL, membership by hash is not expressible there. ------------
+# Samples: sizes, quotas and, as drawn by MD5, the rows themselves are checked against SQL. ------------------
 
 BOOK_KEYS = ["book_id"]
 REVIEW_KEYS = ["review_id"]
 
 
-@query("sample_percent")
+def _draw(key: str) -> str:
+    return f"left(md5('42|' || {key}), 15), {key}"
+
+
+@query("sample_percent", f"""{with_(REVIEWS)}
+SELECT * EXCLUDE (place, n) FROM (SELECT *, row_number() OVER (ORDER BY {_draw('review_id')}) AS place, count(*) OVER () AS n FROM reviews)
+WHERE place <= round_even(n * 0.1e0, 0)""")
 def sample_percent(spark, sf):
-    return S.sample_percent(reviews(spark, sf), 10, REVIEW_KEYS)
+    return S.sample_percent(reviews(spark, sf), 10, REVIEW_KEYS, digest="md5")
 
 
 @query("sample_percent_size", f"{with_(REVIEWS)} SELECT CAST(round_even(count(*) * 0.1e0, 0) AS BIGINT) AS n FROM reviews")
@@ -131,9 +137,21 @@ def _typed_books(spark, sf):
     return books(spark, sf).withColumn("main_type", F.substring_index("categories_std", ",", 1))
 
 
-@query("sample_stratified")
+STRATIFIED = f"""
+typed AS (SELECT *, split_part(categories_std, ',', 1) AS main_type FROM books),
+strata AS (SELECT main_type AS stratum, count(*) AS rows FROM typed GROUP BY main_type),
+tot AS (SELECT sum(rows)::BIGINT AS n, CAST(floor(150 / sum(rows)::DOUBLE * sum(rows)) AS BIGINT) AS drawn FROM strata),
+share AS (SELECT stratum, rows * drawn // n AS base, rows * drawn % n AS rest, drawn FROM strata, tot),
+quota AS (
+  SELECT stratum, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, {_draw('stratum')}) <= drawn - sum(base) OVER () THEN 1 ELSE 0 END AS n
+  FROM share),
+placed AS (SELECT *, row_number() OVER (PARTITION BY main_type ORDER BY {_draw('book_id')}) AS place FROM typed),
+picked AS (SELECT p.* EXCLUDE (place) FROM placed p JOIN quota q ON q.stratum = p.main_type WHERE place <= q.n)"""
+
+
+@query("sample_stratified", f"{with_(BOOKS, STRATIFIED)} SELECT * FROM picked")
 def sample_stratified(spark, sf):
-    return S.sample_stratified(_typed_books(spark, sf), 150, "main_type", BOOK_KEYS)
+    return S.sample_stratified(_typed_books(spark, sf), 150, "main_type", BOOK_KEYS, digest="md5")
 
 
 @query("sample_stratified_quota", """WITH strata AS (SELECT p_type AS stratum, count(*) AS rows FROM part GROUP BY p_type),
@@ -164,10 +182,12 @@ def sample_pair(spark, sf):
     return _sizes(S.sample_pair(books(spark, sf), reviews(spark, sf)))
 
 
-@query("sample_pair_fixed")
+@query("sample_pair_fixed", f"""{with_(BOOKS, STRATIFIED, REVIEWS)}
+SELECT 'books' AS kind, count(*) AS n FROM picked
+UNION ALL SELECT 'reviews', count(*) FROM reviews WHERE title IN (SELECT title_std FROM picked)""")
 def sample_pair_fixed(spark, sf):
     catalogue = _typed_books(spark, sf).withColumnRenamed("title_std", "title")
-    return _sizes(S.sample_pair(catalogue, reviews(spark, sf), mode="fixed", sample_size=150, stratify_column="main_type"))
+    return _sizes(S.sample_pair(catalogue, reviews(spark, sf), mode="fixed", sample_size=150, stratify_column="main_type", digest="md5"))
 
 
 @query("sample_n", "SELECT least(1000, count(*)) AS n FROM lineitem")

@@ -1,9 +1,12 @@
 """Exact-size, repeatable samples.
 
-A sample is the set of rows with the smallest seeded hash of their identifying columns. The cut-off row is found
-from bucket counts of the hash (only the identifying columns are read and a bounded table of counts is shuffled),
-so drawing 10% of a large table is a filter on its scan: no row is sorted or moved, and repeating the draw under
-another partitioning gives the same rows. ``keys`` must identify a row.
+A sample is the set of rows with the smallest seeded hash of their identifying columns. The cut-off row is found by
+selection: one scan of the identifying columns counts the rows of equal ranges of hash values, and a second one reads the
+range that holds the cut-off (ranges that are still large are counted once more, each time 65,536 times finer). Drawing 10%
+of a large table is then a filter on its scan: no row is sorted or moved, and repeating the draw under another
+partitioning gives the same rows. ``keys`` must identify a row.
+
+The hash is XXH64, or with ``digest="md5"`` the first 60 bits of the MD5 sum of ``seed|key|...``, which other engines have too.
 """
 
 from __future__ import annotations
@@ -11,54 +14,78 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reviewlens.operators.lookup import salted_lookup
+from reviewlens.session import cut_lineage
 
-BUCKET_BITS = 16  # an unstratified draw counts 65,536 hash buckets and ranks the narrow rows of one of them
-MAX_STRATUM_BITS = 20
-ROWS_PER_BUCKET = 100_000  # stratified draws take as many buckets as keep a bucket near this size
+BUCKET_BITS = 16  # a scan counts 65,536 ranges of hash values, of the table or of every stratum
+ROWS_PER_BUCKET = 100_000  # a range with fewer rows is ranked as it is
 
 
-def _hash(keys: list[str], seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])
+def _hash(keys: list[str], seed: int, digest: str = "xxhash64") -> Column:
+    """A long whose order is that of the draw."""
+    if digest == "xxhash64":
+        return F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])
+    if digest != "md5":
+        raise ValueError("digest must be 'xxhash64' or 'md5'")
+    told = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    value = F.conv(F.substring(F.md5(told.cast("binary")), 1, 15), 16, 10).cast("long")
+    return F.shiftleft(value - F.lit(1 << 59), 4)
 
 
-def _order(keys: list[str], seed: int) -> Column:
-    return F.struct(_hash(keys, seed).alias("h"), *[F.col(k) for k in keys])
+def _order(keys: list[str], hashed: Column) -> Column:
+    return F.struct(hashed.alias("h"), *[F.col(k) for k in keys])
 
 
-def row_count(df: DataFrame) -> Column:
-    return df.agg(F.count(F.lit(1)).alias("n")).scalar()
+def _range(h: Column | str, shift: Column | int) -> Column:
+    """Number of the range of ``h`` that is left when ``shift`` low bits go; there is one range for 64."""
+    h = F.col(h) if isinstance(h, str) else h
+    shift = F.lit(shift) if isinstance(shift, int) else shift
+    return F.when(shift >= 64, F.lit(0).cast("long")).otherwise(F.call_function("shiftright", h, F.least(shift, F.lit(63))))
 
 
-def take_sample(df: DataFrame, n: int | None, keys: list[str], seed: int = 42, fraction: float | None = None) -> DataFrame:
-    """Exactly ``n`` rows, or all of them when there are fewer; with ``fraction`` that share of the rows instead."""
-    narrow = df.select(*keys).withColumn("bucket", F.shiftright(_hash(keys, seed), 64 - BUCKET_BITS))
-    counts = narrow.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"))
-    if fraction is None:
-        n = F.lit(n).cast("long")
-    else:  # the bucket counts add up to the number of rows
-        n = fraction_size(counts.agg(F.sum("rows").alias("n")).scalar(), fraction)
-    upto = counts.withColumn("upto", F.sum("rows").over(Window.orderBy("bucket")))
-    edge = upto.where(F.col("upto") >= n).agg(
-        F.min(F.struct(F.col("bucket"), (F.col("upto") - F.col("rows")).alias("before"))).alias("edge")
-    )
-    rank = F.row_number().over(Window.orderBy(_order(keys, seed)))
-    cut = (
-        narrow.where(F.col("bucket") == edge.scalar()["bucket"])
-        .withColumn("rank", rank)
-        .where(F.col("rank") == n - edge.scalar()["before"])
-        .agg(F.max(_order(keys, seed)).alias("cut"))
-    )
-    return df.where((n > 0) & (cut.scalar().isNull() | (_order(keys, seed) <= cut.scalar())))
-
+def row_count(df: DataFrame) -> Column:
+    return df.agg(F.count(F.lit(1)).alias("n")).scalar()
 
-def fraction_size(total: Column, fraction: float) -> Column:
-    return F.bround(total * F.lit(fraction)).cast("long")
 
+def take_sample(
+    df: DataFrame, n: int | None, keys: list[str], seed: int = 42, fraction: float | None = None, digest: str = "xxhash64"
+) -> DataFrame:
+    """Exactly ``n`` rows, or all of them when there are fewer; with ``fraction`` that share of the rows instead.
 
-def sample_percent(df: DataFrame, percent: int, keys: list[str], seed: int = 42) -> DataFrame:
+    The driver reads the counts of at most 65,536 ranges per scan, and one row.
+    """
+    narrow = df.select(*keys).withColumn("h", _hash(keys, seed, digest))
+    inside, shift = narrow, 64
+    while True:
+        shift -= BUCKET_BITS
+        counts = sorted(tuple(r) for r in inside.groupBy(_range("h", shift).alias("bucket")).agg(F.count(F.lit(1)).alias("rows")).collect())
+        if n is None:
+            n = _share(sum(rows for _, rows in counts), fraction)
+        if n <= 0:
+            return df.where(F.lit(False))
+        need = n if shift == 64 - BUCKET_BITS else need
+        for bucket, rows in counts:
+            if need <= rows:
+                break
+            need -= rows
+        else:
+            return df  # no more rows than asked for
+        inside = narrow.where(_range("h", shift) == bucket)
+        if rows <= ROWS_PER_BUCKET or shift == 0:
+            break
+    cut = inside.orderBy("h", *keys).limit(need).agg(F.max(_order(keys, F.col("h"))).alias("cut")).first()["cut"]
+    types = {f.name: f.dataType for f in narrow.schema.fields}
+    limit = F.struct(*[F.lit(cut[c]).cast(types[c]).alias(c) for c in ("h", *keys)])
+    return df.where(_order(keys, _hash(keys, seed, digest)) <= limit)
+
+
+def _share(total: int, fraction: float) -> int:
+    return round(total * fraction)  # half to even
+
+
+def sample_percent(df: DataFrame, percent: int, keys: list[str], seed: int = 42, digest: str = "xxhash64") -> DataFrame:
     if not 1 <= percent <= 100:
         raise ValueError("percent must be between 1 and 100")
-    return take_sample(df, None, keys, seed, fraction=percent / 100)
+    return take_sample(df, None, keys, seed, fraction=percent / 100, digest=digest)
 
 
 def sample_before_scoring(
@@ -70,7 +97,7 @@ def sample_before_scoring(
     return take_sample(df, n, keys, seed) if n else df
 
 
-def stratum_quotas(counts: DataFrame, size: int, total: int, seed: int) -> DataFrame:
+def stratum_quotas(counts: DataFrame, size: int, total: int, seed: int, digest: str = "xxhash64") -> DataFrame:
     """Rows to draw per stratum: proportional share, largest remainders rounded up, ties by hash.
 
     ``counts`` holds (stratum, rows). A draw is only stratified when it has at least one row per stratum, so this
@@ -84,14 +111,14 @@ def stratum_quotas(counts: DataFrame, size: int, total: int, seed: int) -> DataF
         }
     )
     missing = F.lit(size) - F.sum("base").over(Window.partitionBy())
-    place = F.row_number().over(Window.orderBy(F.desc("rest"), F.xxhash64(F.lit(seed), "stratum"), "stratum"))
+    place = F.row_number().over(Window.orderBy(F.desc("rest"), _hash(["stratum"], seed, digest), "stratum"))
     return share.select(
         "stratum", "rows", (F.col("base") + F.when(place <= missing, 1).otherwise(0)).alias("quota")
     )
 
 
 def sample_stratified(
-    df: DataFrame, size: int, column: str, keys: list[str], seed: int = 42, report_only: bool = False
+    df: DataFrame, size: int, column: str, keys: list[str], seed: int = 42, report_only: bool = False, digest: str = "xxhash64"
 ) -> DataFrame:
     """A proportional sample by ``column``; NULL becomes the stratum ``'missing'`` and stays visible as such.
 
@@ -100,7 +127,7 @@ def sample_stratified(
     ``report_only`` the strata and their quotas are returned instead of the rows.
     """
     if column not in df.columns:
-        return df if row_total(df) <= size else take_sample(df, size, keys, seed)
+        return df if row_total(df) <= size else take_sample(df, size, keys, seed, digest=digest)
     filled = df.withColumn(column, F.coalesce(F.col(column).cast("string"), F.lit("missing")))
     counts = filled.groupBy(F.col(column).alias("stratum")).agg(F.count(F.lit(1)).alias("rows"))
     shape = counts.agg(F.sum("rows").alias("total"), F.count(F.lit(1)).alias("strata"), F.min("rows").alias("least")).first()
@@ -109,46 +136,46 @@ def sample_stratified(
         return counts.withColumn("quota", F.col("rows")) if report_only else df
     drawn = int(size / total * total)  # the split is asked for a fraction, so the size passes through a division
     if shape["least"] < 2 or drawn < shape["strata"] or total - drawn < shape["strata"]:
-        return take_sample(df, size, keys, seed)
-    quotas = stratum_quotas(counts, drawn, total, seed)
+        return take_sample(df, size, keys, seed, digest=digest)
+    quotas = stratum_quotas(counts, drawn, total, seed, digest)
     if report_only:
         return quotas
-    return _take_quotas(filled, column, quotas, keys, seed)
+    return _take_quotas(filled, column, quotas, keys, seed, digest)
 
 
 def row_total(df: DataFrame) -> int:
     return df.agg(F.count(F.lit(1)).alias("n")).first()["n"]
 
 
-def _take_quotas(df: DataFrame, column: str, quotas: DataFrame, keys: list[str], seed: int) -> DataFrame:
-    """The ``quota`` rows with the smallest hash in every stratum, by the same cut-off idea as take_sample."""
-    bits = F.least(
-        F.lit(MAX_STRATUM_BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.col("rows") / F.lit(ROWS_PER_BUCKET))))
-    ).cast("int")
-    strata = quotas.where(F.col("quota") > 0).withColumn("bits", bits)
-    narrow = df.select(F.col(column).alias("stratum"), *keys).withColumn("h", _hash(keys, seed))
-    placed = salted_lookup(narrow, strata.select("stratum", "bits", "quota"), "stratum", F.col("h"), "inner")
-    # Top bits of the hash, which keep its order; zero bits means a single bucket.
-    placed = placed.withColumn("bucket", F.expr("CASE WHEN bits = 0 THEN 0L ELSE shiftright(h, 64 - bits) END"))
-    counts = placed.groupBy("stratum", "quota", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    window = Window.partitionBy("stratum").orderBy("bucket")
-    edges = (
-        counts.withColumn("upto", F.sum("n").over(window))
-        .where((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("n") < F.col("quota")))
-        .select("stratum", "bucket", (F.col("quota") - (F.col("upto") - F.col("n"))).alias("need"))
-    )
-    order = F.struct("h", *keys)
+def _take_quotas(df: DataFrame, column: str, quotas: DataFrame, keys: list[str], seed: int, digest: str) -> DataFrame:
+    """The ``quota`` rows with the smallest hash in every stratum, by the same selection as take_sample.
+
+    ``edges`` has for every stratum the range of hash values that holds its cut-off row, the rows in it and how many of them
+    are still to be drawn. A round narrows the ranges that have too many rows to be ranked.
+    """
+    edges = cut_lineage(quotas.where(F.col("quota") > 0).select(
+        "stratum", F.lit(0).cast("long").alias("bucket"), F.lit(64).alias("shift"), F.col("rows").cast("long").alias("rows"),
+        F.col("quota").cast("long").alias("need")))
+    narrow = df.select(F.col(column).alias("stratum"), *keys).withColumn("h", _hash(keys, seed, digest))
+
+    def inside(wanted: DataFrame) -> DataFrame:
+        met = salted_lookup(narrow, wanted, "stratum", F.col("h"), "inner")
+        return met.where(_range("h", F.col("shift")) == F.col("bucket"))
+
+    large = (F.col("rows") > ROWS_PER_BUCKET) & (F.col("shift") > 0)
+    while not edges.where(large).isEmpty():
+        finer = inside(edges.where(large)).withColumn("shift", F.col("shift") - BUCKET_BITS).withColumn("bucket", _range("h", F.col("shift")))
+        counts = finer.groupBy("stratum", "shift", "need", "bucket").agg(F.count(F.lit(1)).alias("rows"))
+        before = F.sum("rows").over(Window.partitionBy("stratum").orderBy("bucket")) - F.col("rows")
+        narrowed = counts.withColumn("before", before).where((F.col("before") < F.col("need")) & (F.col("before") + F.col("rows") >= F.col("need")))
+        narrowed = narrowed.select("stratum", "bucket", "shift", "rows", (F.col("need") - F.col("before")).alias("need"))
+        edges = cut_lineage(edges.where(~large).unionByName(narrowed))
+    order = _order(keys, F.col("h"))
     rank = F.row_number().over(Window.partitionBy("stratum").orderBy(order))
-    cuts = (
-        placed.drop("quota")
-        .join(edges, ["stratum", "bucket"])
-        .withColumn("rank", rank)
-        .where(F.col("rank") == F.col("need"))
-        .select("stratum", order.alias("cut"))
-    )
-    rows = df.withColumns({"h": _hash(keys, seed), "stratum": F.col(column)})
+    cuts = inside(edges).withColumn("rank", rank).where(F.col("rank") == F.col("need")).select("stratum", order.alias("cut"))
+    rows = df.withColumns({"h": _hash(keys, seed, digest), "stratum": F.col(column)})
     return (
-        salted_lookup(rows, cuts, "stratum", F.col("h"), "inner")
+        salted_lookup(rows, cut_lineage(cuts), "stratum", F.col("h"), "inner")
         .where(order <= F.col("cut"))
         .select(*df.columns)
     )
@@ -172,6 +199,7 @@ def sample_pair(
     seed: int = 42,
     book_keys: tuple[str, ...] = ("book_id",),
     review_keys: tuple[str, ...] = ("review_id",),
+    digest: str = "xxhash64",
 ) -> tuple[DataFrame, DataFrame]:
     """Sample catalogue and reviews together: independently by percentage, or a fixed-size stratified catalogue
     with the reviews of its titles."""
@@ -179,12 +207,12 @@ def sample_pair(
         return books, reviews
     if mode == "percentage":
         return (
-            sample_percent(books, books_percentage, list(book_keys), seed),
-            sample_percent(reviews, reviews_percentage, list(review_keys), seed),
+            sample_percent(books, books_percentage, list(book_keys), seed, digest),
+            sample_percent(reviews, reviews_percentage, list(review_keys), seed, digest),
         )
     if mode == "fixed":
         if row_total(books) <= sample_size:
             return books, reviews
-        picked = sample_stratified(books, sample_size, stratify_column, list(book_keys), seed)
+        picked = sample_stratified(books, sample_size, stratify_column, list(book_keys), seed, digest=digest)
         return picked, reviews_of_sample(reviews, picked) if "title" in reviews.columns else reviews
     raise ValueError(f"mode must be 'fixed' or 'percentage', got {mode!r}")

@@ -53,8 +53,21 @@ def test_top_k_is_cut_before_the_shuffle(spark):
 def test_sampling_moves_no_row(spark):
     docs = table(spark, SF, "documents")
     plan = plan_of(take_sample(docs, 10, ["doc_id"]))
-    main = plan.split("Subquery")[0]
-    assert "Exchange" not in main and "Sort" not in main
+    assert "Exchange" not in plan and "Sort" not in plan and "Subquery" not in plan
+    assert plan.count("FileScan") == 1
+
+
+def test_a_sample_takes_three_scans_at_most(spark):
+    rows = table(spark, SF, "documents")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("sample", "sample")
+    try:
+        take_sample(rows, None, ["doc_id"], fraction=0.1).collect()
+        jobs = list(tracker.getJobIdsForGroup("sample"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # Counts, the range of the cut-off and the filter; adaptive plans run an aggregation as two jobs.
+    assert len(jobs) <= 6
 
 
 def test_interview_list_keeps_users_without_a_book(spark):

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,6 +36,25 @@ def test_sample_is_the_smallest_hashes(rows):
     assert sorted(ordered[:123]) == ids(S.take_sample(rows, 123, ["id"]))
 
 
+@pytest.mark.parametrize("digest", ["xxhash64", "md5"])
+@pytest.mark.parametrize("n", [1, 123, 2999])
+def test_large_ranges_are_counted_again(rows, monkeypatch, digest, n):
+    whole = ids(S.take_sample(rows, n, ["id"], digest=digest))
+    monkeypatch.setattr(S, "BUCKET_BITS", 4)
+    monkeypatch.setattr(S, "ROWS_PER_BUCKET", 3)
+    assert ids(S.take_sample(rows, n, ["id"], digest=digest)) == whole and len(whole) == n
+    some = S.sample_stratified(rows, 200, "kind", ["id"], digest=digest)
+    monkeypatch.undo()
+    assert ids(some) == ids(S.sample_stratified(rows, 200, "kind", ["id"], digest=digest))
+
+
+def test_md5_order_is_that_of_the_hexadecimal_digits(rows):
+    told = lambda i: hashlib.md5(f"42|{i}".encode()).hexdigest()[:15]
+    assert ids(S.take_sample(rows, 123, ["id"], digest="md5")) == sorted(sorted(range(3000), key=told)[:123])
+    with pytest.raises(ValueError):
+        S.take_sample(rows, 5, ["id"], digest="crc32")
+
+
 @pytest.mark.parametrize("percent", [1, 10, 33, 100])
 def test_percent(rows, percent):
     assert len(ids(S.sample_percent(rows, percent, ["id"]))) == round(3000 * percent / 100)
