@@ -21,6 +21,7 @@ from reviewlens.functions.numeric import count_where, percent, rounded
 from reviewlens.functions.text import search_author, search_title, year_in_text
 from reviewlens.operators.lookup import salted_lookup
 from reviewlens.operators.near_titles import near_titles
+from reviewlens.operators.quantiles import quantile_columns
 from reviewlens.operators.ranking import top_per_group
 from reviewlens.operators.sampling import row_count, take_sample
 from reviewlens.session import cut_lineage
@@ -344,9 +345,11 @@ def diagnose_strategies(found: DataFrame) -> DataFrame:
 
 def diagnose_similarity(found: DataFrame) -> DataFrame:
     s = F.col("similarity")
+    found = cut_lineage(found.select(s))  # the median reads it more than once
+    (median,) = quantile_columns(found, s, [0.5])
     return found.agg(
         rounded(F.avg(s), 3).alias("mean"),
-        rounded(F.median(s), 3).alias("median"),
+        rounded(median, 3).alias("median"),
         count_where(s > 0.8).alias("high"),
         count_where((s >= 0.6) & (s <= 0.8)).alias("medium"),
         count_where(s < 0.6).alias("low"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewlens.functions.numeric import count_where, percent, rounded
+from reviewlens.operators.quantiles import quantile_columns
+from reviewlens.session import cut_lineage
 
 
 def _stack(row: DataFrame, columns: list[str], fields: dict[str, str]) -> DataFrame:
@@ -100,20 +102,17 @@ def top_values(df: DataFrame, column: str, k: int = 10) -> DataFrame:
 def numeric_summary(df: DataFrame, column: str, accuracy: int | None = None) -> DataFrame:
     """count, mean, sample standard deviation, minimum, quartiles (linear), maximum.
 
-    Exact quartiles keep one (value, uses) entry per distinct value and task, which suits ratings, years and
-    polarity with their few thousand values. For an open domain pass ``accuracy`` to use the sketch instead.
+    Quartiles are exact however many values there are (``quantiles``); ``accuracy`` asks for the sketch instead, in one scan.
     """
     v = F.col(column).cast("double")
-
-    def quantile(q: float) -> Column:
-        return F.percentile(v, F.lit(q)) if accuracy is None else F.percentile_approx(v, q, accuracy)
-
+    quartiles = [0.25, 0.5, 0.75]
+    found = quantile_columns(df, v, quartiles) if accuracy is None else [F.percentile_approx(v, q, accuracy) for q in quartiles]
     return df.agg(
         F.count(v).alias("count"),
         F.avg(v).alias("mean"),
         F.stddev_samp(v).alias("std"),
         F.min(v).alias("min"),
-        *[quantile(q).alias(name) for name, q in (("q25", 0.25), ("median", 0.5), ("q75", 0.75))],
+        *[c.alias(name) for name, c in zip(("q25", "median", "q75"), found)],
         F.max(v).alias("max"),
     )
 
@@ -174,4 +173,5 @@ def first_filled(before: DataFrame, after: DataFrame, column: str, k: int = 5, k
 
 def filled_summary(before: DataFrame, after: DataFrame, column: str, key: str = "book_id") -> DataFrame:
     """Count, minimum, maximum and median of a numeric field over the rows that were filled."""
-    return numeric_summary(filled_rows(before, after, column, key), column).select("count", "min", "max", "median")
+    filled = cut_lineage(filled_rows(before, after, column, key).select(column))  # quantiles read it more than once
+    return numeric_summary(filled, column).select("count", "min", "max", "median")

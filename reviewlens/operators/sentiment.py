@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reviewlens.functions.numeric import count_where, percent, rounded
+from reviewlens.operators.quantiles import quantile_columns
 from reviewlens.plans.metrics import NEGATIVE, NEUTRAL, NOT_SCORED, POSITIVE, VALID_LABELS
+from reviewlens.session import cut_lineage
 
 # Published constants of the rule set.
 ALPHA = 15.0
@@ -294,10 +296,12 @@ def scoring_report(before: DataFrame, after: DataFrame) -> DataFrame:
     """Rows given, rows returned, rows labelled, and mean, median and deviation of the polarity."""
     given = before.agg(F.count(F.lit(1)).alias("n")).scalar()
     c = F.col("compound").cast("double")
+    after = cut_lineage(after.select("sentimento", "compound"))  # scores are not worked out again for the median
+    (median,) = quantile_columns(after, c, [0.5])
     return after.agg(
         F.count(F.lit(1)).alias("rows_out"),
         F.count("sentimento").alias("rows_scored"),
         rounded(F.avg(c), 3).alias("compound_mean"),
-        rounded(F.median(c), 3).alias("compound_median"),
+        rounded(median, 3).alias("compound_median"),
         rounded(F.stddev_samp(c), 3).alias("compound_std"),
     ).select(given.alias("rows_in"), "*")
