@@ -1,19 +1,42 @@
-"""Joins of a large frame against a table with one row per key, safe for a key that owns a third of all rows."""
+"""Joins of a large frame against a table with few rows per key, safe for a key that owns a third of all rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 SALTS = 32
+TRACKED = 4096  # keys that the summary of frequent keys keeps at a time
+FREQUENT = 64  # keys that are salted at most; no more than these can each have the share below
+SHARE = 1 / 64  # of all rows that makes a key frequent
+LEAST = 10_000  # and the rows that it must have; fewer are no burden to a task
+
+
+def frequent_keys(df: DataFrame, key: str) -> DataFrame:
+    """(_hot): the keys of ``df`` with at least ``SHARE`` of its rows, by a mergeable frequent-items summary of bounded size.
+
+    A summary that tracks m keys is wrong by less than 2 / m of the rows, so a key with twice that share is never missed.
+    """
+    summary = df.agg(F.expr(f"approx_top_k({key}, {FREQUENT}, {TRACKED})").alias("top"), F.count(F.lit(1)).alias("rows"))
+    each = summary.select("rows", F.inline("top").alias("item", "n"))
+    return each.where((F.col("n") >= F.col("rows") * SHARE) & (F.col("n") >= LEAST) & F.col("item").isNotNull()).select(F.col("item").alias("_hot"))
+
+
+def repeated(table: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+    """``table`` with ``_salt``: rows of frequent keys once per salt, all others as they are."""
+    marked = table.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    salts = F.when(F.col("_hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    return marked.select(*[table[c] for c in table.columns], F.explode(salts).alias("_salt"))
 
 
 def salted_lookup(df: DataFrame, table: DataFrame, key: str, spread: Column, how: str = "left") -> DataFrame:
-    """Join ``table`` (unique on ``key``) to ``df``, spreading every key over ``SALTS`` reducers.
+    """Join ``table`` to ``df``, spreading the frequent keys of ``df`` over ``SALTS`` reducers each.
 
-    ``spread`` is any row-level hash. Only the lookup side is repeated, once per salt. When the lookup turns out
+    ``spread`` is any row-level hash. Only lookup rows of frequent keys are repeated. When the lookup turns out
     small at run time, adaptive execution replaces the shuffle join by a broadcast as usual.
     """
-    salt = F.pmod(spread, F.lit(SALTS)).cast("int")
-    left = df.withColumn("_salt", salt)
-    right = table.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    hot = frequent_keys(df, key)
+    marked = df.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    # Rows without a key meet nothing; they are spread as well, not sent to one task.
+    salt = F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.lit(0)).otherwise(F.pmod(spread, F.lit(SALTS)).cast("int"))
+    left = marked.withColumn("_salt", salt).drop("_hot")
+    return left.join(repeated(table, hot, key), [key, "_salt"], how).drop("_salt")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import oracle
 from reviewlens.operators import similarity as X
 from reviewlens.operators.dedup import dedup_by_key, near_duplicates_to_drop
+from reviewlens.operators import lookup as L
 from reviewlens.operators.lookup import SALTS, salted_lookup
 from test_similarity import brute_walk
 
@@ -39,6 +40,19 @@ def test_salted_lookup_spreads_a_hot_key(spark):
     assert salts.agg(F.max("count")).first()[0] < 3 * 1000 / SALTS
 
 
+def test_only_frequent_keys_are_repeated(spark, monkeypatch):
+    rows = spark.range(60_000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.lit(None)).otherwise(F.col("id").cast("string")).alias("k"))
+    table = rows.select("k").distinct().withColumn("v", F.length("k"))
+    hot = L.frequent_keys(rows, "k")
+    assert [r[0] for r in hot.collect()] == ["hot"]
+    keys = table.where("k IS NOT NULL").count()
+    assert L.repeated(table, hot, "k").where("k IS NOT NULL").count() == keys - 1 + SALTS
+    for how, n in (("left", 60_000), ("inner", 40_000)):
+        assert salted_lookup(rows, table, "k", F.xxhash64("id"), how).count() == n
+    monkeypatch.setattr(L, "LEAST", 20_001)
+    assert L.frequent_keys(rows, "k").isEmpty()
+
+
 def test_a_family_of_copies_stays_linear(spark):
     """A third of the texts are equal, another third differ in one word; every one of them maps to its first member."""
     n = 600
