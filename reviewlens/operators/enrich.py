@@ -133,7 +133,7 @@ def _titled(catalog: DataFrame) -> DataFrame:
 
 
 def _keyed(catalog: DataFrame, multiple: bool) -> DataFrame:
-    """Catalogue rows once per search key, with the number of rows that share the key."""
+    """Catalogue rows once per search key, with the number of rows that share the key; see ``catalogue_index``."""
     rows = _titled(catalog)
     authors = F.array_distinct(F.filter(F.transform("author_name", search_author), lambda a: a.isNotNull()))
     keyed = rows.withColumn("a", F.coalesce(authors, F.array().cast("array<string>"))).select(
@@ -181,14 +181,15 @@ def _near_hits(books: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def match_scores(
-    books: DataFrame, catalog: DataFrame, multiple: bool = True, measure: str = "matching", above: float | None = None, near: bool = False
+    books: DataFrame, catalog: DataFrame, multiple: bool = True, measure: str = "matching", above: float | None = None, near: bool = False,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """Every search hit with its similarity: title similarity plus the bonus for a matching author.
 
     With ``above``, hits that cannot exceed it even with the bonus are dropped before the similarity is computed. With
-    ``near``, titles a few edits apart are hits of a last strategy.
+    ``near``, titles a few edits apart are hits of a last strategy. ``index`` is a stored ``catalogue_index``.
     """
-    rows = _keyed(catalog, multiple)
+    rows = _keyed(catalog, multiple) if index is None else index
     wanted = (
         _wanted(books)
         .select("book_id", "book_title", "book_author", F.inline(_strategy_keys(F.col("t"), _one_author(F.col("book_author")), multiple)))
@@ -241,7 +242,8 @@ def best_matches(hits: DataFrame) -> DataFrame:
 
 
 def find_metadata(
-    books: DataFrame, catalog: DataFrame, multiple: bool = True, measure: str = "matching", near: bool = False
+    books: DataFrame, catalog: DataFrame, multiple: bool = True, measure: str = "matching", near: bool = False,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """``(book_id, fields, strategy, similarity, n_found)`` per book; no match gives NULL fields and similarity 0.
 
@@ -253,7 +255,7 @@ def find_metadata(
     queries = keyed.groupBy("_q").agg(
         F.min("book_id").alias("rep"), F.any_value("title_std").alias("title_std"), F.any_value("authors_std").alias("authors_std")
     )
-    hits = match_scores(queries.withColumnRenamed("rep", "book_id"), catalog, multiple, measure, above=ACCEPT, near=near)
+    hits = match_scores(queries.withColumnRenamed("rep", "book_id"), catalog, multiple, measure, ACCEPT, near, index)
     best = best_matches(hits).drop("catalog_key").withColumnRenamed("book_id", "rep")
     answers = queries.select("_q", "rep").join(best, "rep").drop("rep")
     return salted_lookup(keyed.select("book_id", "_q"), answers, "_q", F.xxhash64("book_id")).select(
@@ -288,24 +290,39 @@ def enrich_missing(
     return find_metadata(wanted, catalog, measure=measure, near=near)
 
 
-def enrich_to_stage(books: DataFrame, catalog: DataFrame, path: str, measure: str = "matching", pieces: int = 16) -> DataFrame:
+def _written(df: DataFrame, path: str) -> None:
+    """Write ``df`` under ``path`` unless that was done before: Spark marks a folder that was written whole."""
+    try:
+        # A folder without its mark is a write that was cut off.
+        df.sparkSession.read.format("binaryFile").load(f"{path}/_SUCCESS").isEmpty()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        df.write.mode("overwrite").parquet(path)
+
+
+def catalogue_index(catalog: DataFrame, path: str, multiple: bool = True) -> DataFrame:
+    """The catalogue under its search keys, written once under ``path`` and sorted by key; a second call reads it."""
+    keyed = _keyed(catalog, multiple)
+    _written(keyed.sortWithinPartitions("_k"), path)
+    return catalog.sparkSession.read.schema(keyed.schema).parquet(path)
+
+
+def enrich_to_stage(
+    books: DataFrame, catalog: DataFrame, path: str, measure: str = "matching", pieces: int = 16, near: bool = False
+) -> DataFrame:
     """:func:`enrich_missing` written piece by piece under ``path``; a second call goes on where the first one stopped.
 
-    A piece holds the books whose id hashes to it. Spark marks a piece that was written whole; others are done again.
+    A piece holds the books whose id hashes to it. The catalogue is keyed and counted once for all of them.
     """
-    spark = books.sparkSession
-    wanted = missing_records(books)
-    for k in range(pieces):
-        piece = f"{path.rstrip('/')}/piece={k}"
-        try:
-            # A folder without its mark is a write that was cut off.
-            spark.read.format("binaryFile").load(f"{piece}/_SUCCESS").isEmpty()
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            part = wanted.where(F.pmod(F.xxhash64("book_id"), F.lit(pieces)) == k)
-            find_metadata(part, catalog, measure=measure).write.mode("overwrite").parquet(piece)
-    return spark.read.parquet(*[f"{path.rstrip('/')}/piece={k}" for k in range(pieces)])
+    root = path.rstrip("/")
+    index = catalogue_index(catalog, f"{root}/index")
+    wanted = cut_lineage(missing_records(books))
+    folders = [f"{root}/found/piece={k}" for k in range(pieces)]
+    for k, folder in enumerate(folders):
+        part = wanted.where(F.pmod(F.xxhash64("book_id"), F.lit(pieces)) == k)
+        _written(find_metadata(part, catalog, measure=measure, near=near, index=index), folder)
+    return books.sparkSession.read.parquet(*folders)
 
 
 def enrichment_summary(found: DataFrame) -> DataFrame:

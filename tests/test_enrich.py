@@ -145,3 +145,19 @@ def test_comparison_of_gaps(frames, spark):
     filled = P.first_filled(books, after, "pub_year").collect()
     assert [r["book_id"] for r in filled] == [7]
     assert P.filled_summary(books, after, "pub_year").first()["median"] == 1999.0
+
+
+def test_a_second_run_goes_on_where_the_first_stopped(frames, spark, tmp_path, monkeypatch):
+    books, catalog = frames
+    path = str(tmp_path / "run")
+    searched = []
+    monkeypatch.setattr(E, "_written", lambda df, p, write=E._written: (_ for _ in ()).throw(RuntimeError) if p.endswith("piece=2") and not searched else write(df, p))
+    with pytest.raises(RuntimeError):
+        E.enrich_to_stage(books, catalog, path, pieces=4)
+    before = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "run").rglob("part-*")}
+    searched.append(1)
+    found = E.enrich_to_stage(books, catalog, path, pieces=4)
+    after = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "run").rglob("part-*")}
+    assert before and all(after[name] == at for name, at in before.items())  # the index and the pieces that were done
+    rows = lambda df: sorted(map(str, df.select("book_id", *E.FIELDS, "strategy", "similarity", "n_found").collect()))
+    assert rows(found) == rows(E.enrich_missing(books, catalog))
