@@ -31,11 +31,19 @@ def label_totals() -> list[Column]:
 
 def fold_totals() -> list[Column]:
     """Second level of :func:`label_totals`."""
-    return [F.sum(c).alias(c) for c in ("n", "n_pos", "n_neg", "n_neu", "polarity_sum", "polarity_n")]
+    return [F.sum(c).alias(c) for c in TOTALS]
+
+
+TOTALS = ["n", "n_pos", "n_neg", "n_neu", "polarity_sum", "polarity_n"]
 
 
 def title_totals(reviews: DataFrame) -> DataFrame:
-    """One row per reviewed title; reviews without a label do not count."""
+    """One row per reviewed title; reviews without a label do not count.
+
+    Rows that are such totals already, of several batches of reviews (``review_fold``), are added up instead.
+    """
+    if set(TOTALS) <= set(reviews.columns):
+        return reviews.groupBy("title").agg(*fold_totals())
     rated = reviews.where(F.col("sentimento").isNotNull() & F.col("title").isNotNull())
     return rated.groupBy("title").agg(*label_totals())
 
