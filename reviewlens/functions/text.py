@@ -39,10 +39,6 @@ _BLANK = r"\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3
 _SCALAR = rf"(?s)^[ \t]*(?:{_ITEM}|[-+]?\d+(?:\.\d*)?(?:[eE][-+]?\d+)?|None|True|False)\s*$"
 
 
-def blank_to_null(c: Column) -> Column:
-    return F.when(F.trim(c) != "", c)
-
-
 def strip_space(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 

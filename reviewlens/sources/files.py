@@ -57,6 +57,7 @@ def csv_to_parquet(
 
 
 def read_raw_pair(
-    spark: SparkSession, books_path: str, reviews_path: str, books_schema: StructType, reviews_schema: StructType
+    spark: SparkSession, books_path: str, reviews_path: str, books_schema: StructType, reviews_schema: StructType,
+    multi_line: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
-    return read_csv(spark, books_path, books_schema), read_csv(spark, reviews_path, reviews_schema)
+    return read_csv(spark, books_path, books_schema, multi_line), read_csv(spark, reviews_path, reviews_schema, multi_line)
