@@ -11,7 +11,8 @@ their first character, and backslashes are doubled; ``unescape`` undoes both.
 
 Nulls and ties: a null text or role is empty, a null turn sorts first, turns that tie are ordered by role and text and all
 stay, rows without conv_id form one conversation. An empty table gives an empty result, an empty text a turn without
-characters. A turn longer than the budget is a window of its own. Extra columns are not read.
+characters. A turn for which the budget has no room beside the system turn is a window with that system turn alone, and
+longer than the budget by what is lacking. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from reviewlens.llm.common import stage
+
 # Control strings of common chat templates and of this one.
 CONTROL = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 SYSTEM, TARGET = "system", "assistant"
@@ -70,13 +73,14 @@ def _prefix_sums(turns: DataFrame) -> DataFrame:
 def windows(conversations: DataFrame, budget: int = 512, history: int = 2, history_tokens: int = 128) -> DataFrame:
     """(conv_id, window, turns): turns is an array of (pos, role, text, own), own false where a turn is repeated.
 
-    A window has at most ``budget`` tokens, or one own turn that is longer. At most ``history`` turns with at most
-    ``history_tokens`` tokens are repeated before its span, and the system turn that opens the conversation always.
+    A window has at most ``budget`` tokens, unless its system turn and one own turn alone have more. The system turn that
+    opens the conversation is always shown; of the turns before the span at most ``history`` are repeated, with at most
+    ``history_tokens`` tokens, and as many as fit beside the rest.
     """
     turns = conversations.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     ).withColumn("tokens", tokens(F.col("text")).cast("long"))
-    summed = _prefix_sums(turns)
+    summed = stage(_prefix_sums(turns))
     opens = summed.where((F.col("pos") == 1) & (F.col("role") == SYSTEM)).select(
         F.col("conv_id").alias("_conv"), F.col("text").alias("_system"), F.col("tokens").alias("_cost"))
     summed = summed.join(opens, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").drop("_conv")
@@ -93,14 +97,16 @@ def windows(conversations: DataFrame, budget: int = 512, history: int = 2, histo
     inner = cut.groupBy(F.col("conv_id").alias("_c"), F.col("_step").alias("_s")).agg(F.sum("tokens").alias("_all"))
     cut = cut.join(inner, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("_step") == F.col("_s")))
     alone = F.col("_crosses") & (F.col("_all") > F.col("_room"))
-    cut = cut.withColumn("_span", 2 * F.col("_step") + F.when(alone, 0).otherwise(1))
+    cut = stage(cut.withColumn("_span", 2 * F.col("_step") + F.when(alone, 0).otherwise(1)).select(
+        "conv_id", "role", "text", "tokens", "pos", "_span", "_from", "_system", "_cost"))
     # Own turns, and turns that a later span repeats: those at most ``history`` places before its first turn.
     first_rows = cut.groupBy(F.col("conv_id").alias("_c2"), F.col("_span").alias("_window")).agg(
-        F.min("pos").alias("_first"), F.min("_from").alias("_at"), F.max("_system").alias("_sys"))
+        F.min("pos").alias("_first"), F.min("_from").alias("_at"), F.max("_system").alias("_sys"),
+        (F.sum("tokens") + F.coalesce(F.max("_cost"), F.lit(0))).alias("_taken"))
     own = cut.select("conv_id", F.col("_span").alias("_window"), "pos", "role", "text", F.lit(True).alias("own"))
     wanted = first_rows.withColumn("_pos", F.explode(F.sequence(F.col("_first") - history, F.col("_first") - 1))).where("_pos > 0")
     repeated = cut.join(wanted, F.col("conv_id").eqNullSafe(F.col("_c2")) & (F.col("pos") == F.col("_pos"))).where(
-        F.col("_at") - F.col("_from") <= history_tokens
+        F.col("_at") - F.col("_from") <= F.least(F.lit(history_tokens), F.lit(budget) - F.col("_taken"))
     ).select("conv_id", "_window", "pos", "role", "text", F.lit(False).alias("own"))
     shown = first_rows.where(F.col("_sys").isNotNull())
     once = F.col("_first") == 2
