@@ -217,7 +217,16 @@ SELECT conv_id, {', '.join(f'coalesce({c}, 0)::BIGINT AS {c}' for c in ('gaps',
 FROM ends LEFT JOIN counts USING (conv_id) LEFT JOIN told USING (conv_id)"""
 
 
+_WARC_SQL = """WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS html, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes FROM pages),
+placed AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM payloads)
+SELECT page_id, payload_bytes, sha256(html) AS payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM placed"""
+
 ORACLES: dict[str, str] = {
+    "op6_warc": _WARC_SQL,
     "op11_vector_codes": _vector_codes_sql(),
     "op13_repair": _repair_sql(),
 }
