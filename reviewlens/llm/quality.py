@@ -57,17 +57,15 @@ def _ratio(above: Column, below: Column) -> Column:
 def _repeat_words() -> Column:
     """Words that lie in a three-word window found twice or more in the text.
 
-    The windows' hashes carry their position in the low bits, so that sorting one array of longs brings equal windows
-    together; a window is repeated when a neighbour agrees above those bits. A first look at the distinct hashes spares
-    most texts the rest.
+    Sorting the windows' hashes with their positions brings equal windows together; a window is repeated when a neighbour
+    has the same hash. A first look at the distinct hashes spares most texts the rest.
     """
     return F.expr(
-        """CASE WHEN size(_q_windows) = size(array_distinct(_q_windows)) THEN 0L ELSE
+        """CASE WHEN size(_q_sorted) = 0 THEN 0L ELSE
         cast(size(array_distinct(flatten(transform(
           filter(_q_sorted, (x, i) ->
-            (i > 0 AND shiftright(x, _q_bits) = shiftright(_q_sorted[i - 1], _q_bits))
-            OR (i < size(_q_sorted) - 1 AND shiftright(x, _q_bits) = shiftright(_q_sorted[i + 1], _q_bits))),
-          x -> array(x & _q_mask, (x & _q_mask) + 1, (x & _q_mask) + 2))))) AS bigint) END"""
+            (i > 0 AND x.h = _q_sorted[i - 1].h) OR (i < size(_q_sorted) - 1 AND x.h = _q_sorted[i + 1].h)),
+          x -> array(x.i, x.i + 1, x.i + 2))))) AS bigint) END"""
     )
 
 
@@ -88,12 +86,10 @@ def measures(docs: DataFrame) -> DataFrame:
             "CASE WHEN size(_q_words) < 3 THEN cast(array() AS array<bigint>) ELSE transform(sequence(0, size(_q_words) - 3),"
             " i -> xxhash64(_q_words[i], _q_words[i + 1], _q_words[i + 2])) END"
         ),
-        "_q_bits": F.length(F.bin(F.size("_q_words"))),
     })
-    step = step.withColumn("_q_mask", F.expr("shiftleft(1L, _q_bits) - 1"))
     step = step.withColumn("_q_sorted", F.expr(
-        "CASE WHEN size(_q_windows) = size(array_distinct(_q_windows)) THEN cast(array() AS array<bigint>) ELSE"
-        " sort_array(transform(_q_windows, (h, i) -> shiftleft(shiftright(h, _q_bits), _q_bits) | cast(i AS bigint))) END"))
+        "CASE WHEN size(_q_windows) = size(array_distinct(_q_windows)) THEN cast(array() AS array<struct<h: bigint, i: int>>) ELSE"
+        " sort_array(transform(_q_windows, (h, i) -> struct(h, i))) END"))
     step = step.withColumns({
         "word_chars": squeezed.cast("long"),
         "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
