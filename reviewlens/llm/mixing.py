@@ -11,7 +11,7 @@ least once; a smaller ``total`` leaves out rows of the sources that are over-rep
 
 Nulls and ties: rows without a source form a source of their own; a null text has no tokens; rows that tie on id and text
 go the same way, all of them. Sources without a token are used once and have weight 0. An empty table gives an empty
-result. Other columns travel along; columns named epoch, block or mix_key are replaced, and names that start with _m_ are
+result. Texts of any length are counted where they are and never shuffled. Other columns travel along; columns named epoch, block or mix_key are replaced, and names that start with _m_ are
 reserved.
 """
 

@@ -7,8 +7,9 @@ two hashes, so equal texts stay in one shard; only where one hash alone outweigh
 Then the rows move once.
 
 Nulls and ties: a null text counts as empty, a null id sorts first. Rows that agree in text and id cannot be told apart
-and stay together. An empty table gives an empty result. Other columns travel along; columns named size,
-shard or slot are replaced, and names that start with _s_ are reserved.
+and stay together. Ids that are no whole numbers are ordered by their hash. An empty table gives an empty result. A text
+that outweighs a shard fills one. Other columns travel along; columns named size, shard or slot are replaced, and names that
+start with _s_ are reserved.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ def size(text: Column) -> Column:
 def order_key(text: Column, doc_id: Column) -> dict[str, Column]:
     return {
         "_s_hash": F.xxhash64(F.coalesce(text, F.lit(""))),
-        "_s_tie": F.coalesce(doc_id.cast("long"), F.lit(LOW)),
+        "_s_tie": F.coalesce(doc_id.try_cast("long"), F.when(doc_id.isNotNull(), F.xxhash64(doc_id)), F.lit(LOW)),
     }
 
 

@@ -10,7 +10,7 @@ the spans are runs of words that are toxic with a probability of at least a half
 
 Nulls and ties: a null text is empty and has the lowest score; rows without label or text are not learnt from; of several
 labels for an id the highest counts; repeated rows are scored alike. With no toxic or no clean row to learn from every score
-is 0. Extra columns are not read. Whole texts are scored; only the sample for learning leaves out very long ones.
+is 0; an empty table gives an empty result. Extra columns are not read. Whole texts are scored; only the sample for learning leaves out very long ones.
 """
 
 from __future__ import annotations
