@@ -251,7 +251,8 @@ def test_chat_reads_back_as_written(spark):
     for r in formatted.collect():
         turns = chat.parse(r.text)
         fresh = [t for k, t in enumerate(turns) if k in r.fresh]
-        assert sum(map(cost, turns)) <= 120 or len([t for t in fresh if t[0] != "system"]) == 1
+        # Beyond the budget there is nothing but the system turn and the one turn that has no room beside it.
+        assert sum(map(cost, turns)) <= 120 or len([t for t in turns if t[0] != "system"]) == 1
         inner = re.sub(r"<\|(?:[^|\\]|\\.|\|(?!>))*\|>|<\|end\|>", "\0", r.text)
         assert not any(c in inner for c in chat.CONTROL)
     shown = defaultdict(list)
@@ -260,6 +261,15 @@ def test_chat_reads_back_as_written(spark):
     assert all(first == "system" for first in shown[0]) and len(shown[0]) > 1
 
 
+def test_history_gives_way_to_the_budget(spark):
+    """A system turn of 34 tokens, a history of 118 and an own turn of 384: one turn of the history fits into 512."""
+    turn = lambda n: " ".join(["w"] * (n - 4))
+    rows = [(1, 0, "system", turn(34)), (1, 1, "user", turn(59)), (1, 2, "assistant", turn(59)), (1, 3, "user", turn(384)), (1, 4, "assistant", turn(600))]
+    formatted = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    sizes = [[chat_tokens(t) for _, t in chat.parse(r.text)] for r in formatted.orderBy("window").collect()]
+    assert sizes == [[34, 59, 59], [34, 59, 384], [34, 600]]
+
+
 def chat_tokens(text):
     return len(re.findall(r"[^\W_]+|[^\s]", re.sub(r"[^\W_]+", "w", text))) + 4
 
