@@ -1,4 +1,10 @@
-"""The corpus pipeline: language, near duplicates, benchmark leaks, source weights, shards."""
+"""The corpus pipeline: language, near duplicates, benchmark leaks, source weights, shards.
+
+Documents have doc_id, text, lang, source and n_chars; all but the last stage return their columns. A null or blank text has
+no language and goes in the first stage. Documents without an id or a source stay. Rows that are equal are copies, of which
+one stays. Texts of any length are read whole by every stage, and empty tables pass through all of them. Extra columns travel along, but
+for those that a stage adds itself.
+"""
 
 from __future__ import annotations
 
@@ -43,7 +49,7 @@ STAGES = [
     ("shards", shards),
 ]
 
-#: A trained network and iterated searches have no SQL form; tests compare every stage with a brute-force version.
+#: A trained network and iterated searches have no SQL form; tests/llm/test_pipeline.py holds every stage against a plain version.
 ORACLE_SQL = None
 
 
