@@ -33,13 +33,11 @@ def _exceeds(counters: list[np.ndarray], over: np.ndarray, radius: int) -> np.nd
     return above
 
 
-def close_pairs(padded: np.ndarray, valid: np.ndarray, q: np.ndarray, w: np.ndarray, radius: int):
+def close_pairs(padded: np.ndarray, planes: np.ndarray, lanes: np.ndarray, q: np.ndarray, w: np.ndarray, radius: int):
     """(i, j, distance) of all i in ``q`` against the 64 lanes of the word beside it in ``w``, within ``radius``.
 
-    ``padded`` holds the fingerprints, cells filled up to 64; ``valid`` marks the real ones.
+    ``padded`` holds the fingerprints, cells filled up to 64, ``planes`` their bits; ``lanes`` marks the real ones.
     """
-    planes = planes_of(padded)
-    lanes = np.packbits(valid, bitorder="little").view("<u8")
     counters = [np.zeros(len(q), "<u8") for _ in range(radius.bit_length())]
     over = ~lanes[w]
 
@@ -115,10 +113,11 @@ def layout(fps: np.ndarray, group: np.ndarray, cell: np.ndarray):
 def links(fps: np.ndarray, group: np.ndarray, cell: np.ndarray, radius: int, most: int = 1 << 14) -> Iterator[tuple]:
     """(i, j, distance), i and j row numbers, in pieces of ``most`` blocks, so at most 64 times as many links at once."""
     padded, valid, place, q, w = layout(fps, group, cell)
+    planes, lanes = planes_of(padded), np.packbits(valid, bitorder="little").view("<u8")
     back = np.empty(len(padded), np.int64)
     back[place] = np.arange(len(fps))
     for k in range(0, len(q), most):
-        i, j, d = close_pairs(padded, valid, q[k : k + most], w[k : k + most], radius)
+        i, j, d = close_pairs(padded, planes, lanes, q[k : k + most], w[k : k + most], radius)
         i, j = back[i], back[j]
         keep = (cell[i] != cell[j]) | (i < j)
         yield i[keep], j[keep], d[keep]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from reviewlens.session import scratch_path
@@ -43,6 +47,20 @@ def bound_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def trimmed(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A worker function that hands unused memory back when its task ends; idle workers would keep it beside the JVM's."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library, which has its own way
+            pass
+
+    return run
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: recovery never goes further back than here."""
     spark = df.sparkSession
