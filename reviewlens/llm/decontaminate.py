@@ -20,7 +20,8 @@ been counted; beyond the bound the join shuffles both sides.
 Nulls and ties: a null text, of a document or an item, has no word and matches nothing. Rows without doc_id are kept and
 reported as null; documents that tie on the id are reported together; items that tie on item_id count as one item per text.
 An item shorter than a window is one window of its own length. Windows of numbers and units for the most part are compared
-with their values, so only verbatim copies of them are found; an item of one or two words with a number in it matches nothing. Empty tables give empty results. Extra columns are not read.
+with their values, so only verbatim copies of them are found; an item of one or two words with a number in it matches nothing. Empty tables give empty results. Texts of any length are
+read whole. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from reviewlens.llm.common import bound_batches
+from reviewlens.llm.common import bound_batches, trimmed
 
 WINDOW = 8  # canonical words
 SHARE = 0.6  # of an item's words that a document must hold, in place
@@ -60,7 +61,7 @@ STRIP = ".,;:!?\"'()[]{}<>|#*&%$+=~`_-–—…«»“”‘’"
 NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
 SEED = 9
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-CACHE = 1 << 18  # raw words a worker remembers
+CACHE = 1 << 16  # raw words a worker remembers
 
 
 #: Properties of a word as bits: kind in the lowest two, starts with a capital, ends a sentence, no sign before it, none
@@ -368,7 +369,7 @@ def document_windows(docs: DataFrame, marks: np.ndarray, widths: list[tuple[int,
                  pa.array(values.view("<i8")), pa.array(places, pa.int64()), pa.array(slots, pa.string())],
                 names=["doc_id", "_text", "hash", "place", "slots"])
 
-    return bound_batches(docs).select("doc_id", F.xxhash64("text").alias("_text"), "text").mapInArrow(work, f"doc_id {kind}, _text long, {WINDOWS}")
+    return bound_batches(docs).select("doc_id", F.xxhash64("text").alias("_text"), "text").mapInArrow(trimmed(work), f"doc_id {kind}, _text long, {WINDOWS}")
 
 
 def _pairs(own: str, other: str) -> set[tuple[str, str, str, str, bool]]:

@@ -10,7 +10,7 @@ so that frequent ones are no prior that long texts would multiply.
 
 Nulls and ties: a null text, or one without a letter, is ``und`` with score 0; rows without a language or id are not
 learnt from; equal scores go to the language first in order. With nothing to learn from, every row is ``und``. Repeated
-rows and extra columns make no difference.
+rows and extra columns make no difference; texts of any length are read whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reviewlens.llm.common import without
+from reviewlens.llm.common import bound_batches, trimmed, without
 
 UNKNOWN = "und"
 SAMPLE_DOCS = 400  # rows learnt from per language
@@ -30,7 +30,7 @@ SAMPLE_WORDS = 6000  # distinct words learnt from per language, the most frequen
 WIDTH = 16  # units per direction
 PIECE = 24  # bytes read without a break
 EPOCHS, BATCH, RATE = 8, 256, 0.01
-CACHE = 1 << 18  # words a task remembers
+CACHE = 1 << 17  # words a task remembers
 LEAST_SCORE = 0.5  # below it a document has no clear language
 LETTER = re.compile(r"[^\W\d_]")
 Weights = dict[str, np.ndarray]
@@ -222,6 +222,25 @@ class Labeller:
         return out
 
 
+TEXTS = 256  # texts whose words are held at once
+
+
+def _verdicts(texts: pa.Array, languages: list[str], labeller: Labeller | None) -> Iterator[tuple[str, float]]:
+    """(language, score) of every text."""
+    for k in range(0, len(texts), TEXTS):
+        part = [t or "" for t in texts.slice(k, TEXTS).to_pylist()]
+        if labeller is None:
+            yield from ((UNKNOWN, 0.0) for _ in part)
+            continue
+        found = labeller.pooled([t.encode("utf-8", "surrogatepass") for t in part])
+        sums = found[:, :-1] / np.sqrt(np.maximum(found[:, -1:], 1))
+        p = np.exp(sums - sums.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        for t, b, row in zip(part, p.argmax(1), p):
+            readable = LETTER.search(t) is not None
+            yield (languages[b], float(row[b])) if readable else (UNKNOWN, 0.0)
+
+
 def predict(docs: DataFrame, languages: list[str], weights: Weights) -> DataFrame:
     """Every row of ``docs`` without its text, with lang_pred and score.
 
@@ -229,46 +248,33 @@ def predict(docs: DataFrame, languages: list[str], weights: Weights) -> DataFram
     """
     from pyspark.sql.types import DoubleType, StringType, StructType
 
-    docs = without(docs, "lang_pred", "score")
+    docs = bound_batches(without(docs, "lang_pred", "score"))
     kept = [f for f in docs.schema.fields if f.name != "text"]
     schema = StructType([*kept]).add("lang_pred", StringType()).add("score", DoubleType())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(weights) if languages else None
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            names, scores = [], []
-            # A few hundred texts at a time: their distinct words, not all texts of the batch, are held at once.
-            for k in range(0, len(texts), 256):
-                part = [t or "" for t in texts[k : k + 256]]
-                if labeller is None:
-                    names += [UNKNOWN] * len(part)
-                    scores += [0.0] * len(part)
-                    continue
-                found = labeller.pooled([t.encode("utf-8", "surrogatepass") for t in part])
-                sums = found[:, :-1] / np.sqrt(np.maximum(found[:, -1:], 1))
-                p = np.exp(sums - sums.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                best = p.argmax(1)
-                for t, b, row in zip(part, best, p):
-                    readable = LETTER.search(t) is not None
-                    names.append(languages[b] if readable else UNKNOWN)
-                    scores.append(float(row[b]) if readable else 0.0)
+            names, scores = zip(*_verdicts(batch.column("text"), languages, labeller)) if batch.num_rows else ((), ())
             yield pa.record_batch(
                 [*[batch.column(f.name) for f in kept], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
-    return docs.mapInArrow(work, schema)
+    return docs.mapInArrow(trimmed(work), schema)
 
 
 def keep_readable(docs: DataFrame, languages: list[str], weights: Weights, least: float = LEAST_SCORE) -> DataFrame:
     """``docs`` less the rows without a language and those whose best language has a score below ``least``.
 
-    The text is carried once and comes back whole; column names that start with _l_ are reserved.
+    Rows pass through the worker as they are, with one copy of their text, and those that go are left out there.
     """
-    named = docs.select(F.struct(*docs.columns).alias("_l_row"), "text")
-    found = predict(named.select(F.col("_l_row"), "text"), languages, weights)
-    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return kept.select("_l_row.*")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller = Labeller(weights) if languages else None
+        for batch in batches:
+            keep = [name != UNKNOWN and score >= least for name, score in _verdicts(batch.column("text"), languages, labeller)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return bound_batches(docs).mapInArrow(trimmed(work), docs.schema)
 
 
 def training_rows(docs: DataFrame, held_out: Column) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
-from reviewlens.llm.common import without
+from reviewlens.llm.common import bound_batches, without
 
 BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values: kinds of pieces
@@ -324,7 +324,7 @@ def _parts(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` without its text, with the ids of the text."""
-    docs = without(docs, ids) if ids != text else docs
+    docs = bound_batches(without(docs, ids) if ids != text else docs)
     kept = [f for f in docs.schema.fields if f.name != text]
     schema = StructType([*kept]).add(ids, ArrayType(IntegerType(), False))
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
