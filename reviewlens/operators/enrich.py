@@ -5,6 +5,9 @@ first_publish_year)``. A book is looked up by up to four search strategies; each
 sides, and a search returns every catalogue row of the key. With ``near``, a fifth one returns the rows whose title is a few
 edits away (``near_titles``). Rows are judged as they are joined: a book and strategy keep
 one best hit per task, so nothing per key is gathered or ordered.
+
+Both sides of every join grow with the catalogue and are shuffled (``merge``): their files are small beside their rows, and
+a broadcast chosen by the size of the files would gather the catalogue in the driver.
 """
 
 from __future__ import annotations
@@ -19,12 +22,12 @@ from pyspark.sql.types import DoubleType
 
 from reviewlens.functions.numeric import count_where, percent, rounded
 from reviewlens.functions.text import search_author, search_title, year_in_text
-from reviewlens.operators.lookup import salted_lookup
+from reviewlens.operators.lookup import counted_keys, salted_lookup
 from reviewlens.operators.near_titles import near_titles
 from reviewlens.operators.quantiles import quantile_columns
 from reviewlens.operators.ranking import top_per_group
 from reviewlens.operators.sampling import row_count, take_sample
-from reviewlens.session import cut_lineage
+from reviewlens.session import cut_lineage, spread
 
 # Strategies in the order they are tried, the single default strategy, and the matching rule.
 STRATEGIES = ["titulo_autor", "titulo_completo", "busca_geral", "palavras_chave"]
@@ -134,14 +137,14 @@ def _titled(catalog: DataFrame) -> DataFrame:
 
 def _keyed(catalog: DataFrame, multiple: bool) -> DataFrame:
     """Catalogue rows once per search key, with the number of rows that share the key; see ``catalogue_index``."""
-    rows = _titled(catalog)
+    rows = _titled(spread(catalog))
     authors = F.array_distinct(F.filter(F.transform("author_name", search_author), lambda a: a.isNotNull()))
     keyed = rows.withColumn("a", F.coalesce(authors, F.array().cast("array<string>"))).select(
         "key", "title", "author_name", *FIELDS, F.inline(_strategy_keys(F.col("t"), F.col("a"), multiple))
     )
     keyed = keyed.withColumn("_k", F.concat_ws(":", "strategy_rank", "search_key")).drop("search_key")
     counts = keyed.groupBy("_k").agg(F.count(F.lit(1)).cast("int").alias("n_found"))
-    return salted_lookup(keyed, counts, "_k", F.xxhash64("key"), "inner")
+    return salted_lookup(keyed, counts, "_k", F.xxhash64("key"), "inner", counted_keys(counts, "_k", "n_found"))
 
 
 def _common_share(a: Column, b: Column) -> Column:
@@ -167,16 +170,16 @@ def near_pairs(books: DataFrame, catalog: DataFrame) -> DataFrame:
     rows = _titled(catalog)
     pairs = near_titles(_wanted(books), rows)
     uses = rows.groupBy(F.col("t").alias("other")).agg(F.count(F.lit(1)).alias("_uses"))
-    counted = pairs.join(uses, "other")
+    counted = pairs.join(uses.hint("merge"), "other")
     found = counted.groupBy("t").agg(F.sum("_uses").cast("int").alias("n_found"))
-    return pairs.join(found, "t").select("t", "other", "edits", "n_found")
+    return pairs.join(found.hint("merge"), "t").select("t", "other", "edits", "n_found")
 
 
 def _near_hits(books: DataFrame, catalog: DataFrame) -> DataFrame:
     """Hits of the near titles, in the shape of the other strategies' hits."""
     pairs = near_pairs(books, catalog).drop("edits")
-    wanted = _wanted(books).join(pairs, "t").drop("t")
-    return wanted.join(_titled(catalog).withColumnRenamed("t", "other"), "other").drop("other").withColumns(
+    wanted = _wanted(books).join(pairs.hint("merge"), "t").drop("t")
+    return wanted.join(_titled(catalog).withColumnRenamed("t", "other").hint("merge"), "other").drop("other").withColumns(
         {"strategy_rank": F.lit(len(STRATEGIES) + 1), "strategy": F.lit(NEAR_STRATEGY)})
 
 
@@ -191,7 +194,7 @@ def match_scores(
     """
     rows = _keyed(catalog, multiple) if index is None else index
     wanted = (
-        _wanted(books)
+        _wanted(spread(books))
         .select("book_id", "book_title", "book_author", F.inline(_strategy_keys(F.col("t"), _one_author(F.col("book_author")), multiple)))
         .withColumn("_k", F.concat_ws(":", "strategy_rank", "search_key"))
         .drop("search_key", "strategy_rank", "strategy")
@@ -257,7 +260,7 @@ def find_metadata(
     )
     hits = match_scores(queries.withColumnRenamed("rep", "book_id"), catalog, multiple, measure, ACCEPT, near, index)
     best = best_matches(hits).drop("catalog_key").withColumnRenamed("book_id", "rep")
-    answers = queries.select("_q", "rep").join(best, "rep").drop("rep")
+    answers = queries.select("_q", "rep").join(best.hint("merge"), "rep").drop("rep")
     return salted_lookup(keyed.select("book_id", "_q"), answers, "_q", F.xxhash64("book_id")).select(
         "book_id",
         *FIELDS,
@@ -275,7 +278,7 @@ def apply_enrichment(books: DataFrame, found: DataFrame, fill_only: bool = False
         old, fresh = F.col(c), F.col(f"_{c}")
         return F.coalesce(old, fresh) if fill_only else F.coalesce(fresh, old)
 
-    return books.join(new, "book_id", "left").select(
+    return books.join(new.hint("merge"), "book_id", "left").select(
         *[merged(c).alias(c) if c in FIELDS else F.col(c) for c in books.columns]
     )
 
@@ -378,7 +381,8 @@ def diagnose_examples(books: DataFrame, found: DataFrame, k: int = 5) -> DataFra
     outcome = F.when(F.col("similarity") > 0.8, "success").when(F.col("similarity") < 0.3, "failure")
     judged = found.select("book_id", "similarity", "strategy", F.col("authors_std").isNotNull().alias("author_found"), outcome.alias("outcome"))
     top = top_per_group(judged.where(F.col("outcome").isNotNull()), ["outcome"], [F.asc("book_id")], k)
-    return top.drop("rank").join(books.select("book_id", "title_std", F.col("authors_std").alias("author")), "book_id")
+    wanted = books.select("book_id", "title_std", F.col("authors_std").alias("author"))
+    return wanted.join(F.broadcast(top.drop("rank")), "book_id").select(*[c for c in top.columns if c != "rank"], "title_std", "author")  # 2 * k rows
 
 
 def diagnosis_sample(books: DataFrame, n: int = 100, seed: int = 42) -> DataFrame:

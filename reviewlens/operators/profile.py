@@ -164,7 +164,7 @@ def compare_missing(before: DataFrame, after: DataFrame, columns: list[str]) ->
 def filled_rows(before: DataFrame, after: DataFrame, column: str, key: str = "book_id") -> DataFrame:
     """Rows whose field was NULL and no longer is."""
     gaps = before.where(F.isnull(column)).select(key)
-    return after.where(F.col(column).isNotNull()).join(gaps, key, "left_semi")
+    return after.where(F.col(column).isNotNull()).join(gaps.hint("merge"), key, "left_semi")
 
 
 def first_filled(before: DataFrame, after: DataFrame, column: str, k: int = 5, key: str = "book_id") -> DataFrame:

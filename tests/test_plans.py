@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import subprocess
 import sys
 
@@ -89,3 +90,12 @@ def test_worker_functions_need_no_package_on_the_executors(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=60)
     assert done.stdout.strip() == "0.75", done.stderr
+
+
+@pytest.mark.parametrize("name", ["en03_edit", "en04", "en04_edit", "en06", "en06_fill_only", "en07_summary", "en07_edit", "pr10", "pr11",
+                                  "pr12_examples", "pr12_strategies"])
+def test_enrichment_gathers_no_catalogue_in_the_driver(spark, name):
+    """Files of a catalogue are small beside its rows, so only bounded tables may be broadcast: frequent
+    keys, examples, one row per column."""
+    joins = [line for line in plan_of(oracle.entry.queries()[name](spark, SF)).splitlines() if "BroadcastHashJoin" in line]
+    assert all(re.search(r"_hot#|\[column#", line) or name == "pr12_examples" and "BuildRight" in line for line in joins), joins
