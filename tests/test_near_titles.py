@@ -76,3 +76,10 @@ def test_a_typo_in_the_first_word_is_found(spark):
     assert (got[2]["strategy"], got[2]["pub_year"]) == (E.NEAR_STRATEGY, 2001)
     assert (got[6]["strategy"], got[6]["pub_year"]) == (E.NEAR_STRATEGY, 1999)  # the first certain hit wins, as in every strategy
     assert got[4]["strategy"] == "titulo_autor" and got[3]["strategy"] is None and got[5]["strategy"] is None
+
+
+def test_titles_that_share_their_words_meet_by_what_differs(spark):
+    """A few names with many numbers: runs of the names are common to all titles, so they must not decide who meets."""
+    rng, names = random.Random(3), [f"{a} {b}" for a in ("large", "small", "cold", "red") for b in ("anvil", "plate", "ring", "bolt")]
+    side = spark.createDataFrame([(f"{rng.choice(names)} {k}",) for k in range(10_000, 18_000)], "text string")
+    assert N.candidates(side, side).count() <= 400 * 8_000
