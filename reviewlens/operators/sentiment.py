@@ -1,8 +1,9 @@
 """Lexicon-and-rule polarity (Hutto & Gilbert, 2014) as joins and aggregation, and the reports on its labels.
 
-The valence lexicon is a table ``(token, valence)`` given by the caller. Each word travels with the three words before
-it and the one after it, meets the broadcast lexicon where it is read, and is summed per review on the map side: one
-narrow row per review is all that is shuffled, and texts never are. Tokens of the lexicon are matched as given against
+The valence lexicon is a table ``(token, valence)`` given by the caller. Each valued word travels with the three words
+before it and the two after it, meets the broadcast lexicon where it is read, and is summed per review on the map side:
+one narrow row per review is all that is shuffled, and texts never are. Words without a valence only count as neighbours:
+of a lexicon of usual size they leave the review before any row is made of them, of a larger one at the first join. Tokens of the lexicon are matched as given against
 lower-cased words; a word before a valued one acts on it only if it is not valued itself.
 """
 
@@ -50,6 +51,7 @@ IDIOMS = {
 }
 
 MAX_LEXICON = 1_000_000  # rows; a larger lexicon is joined without the broadcast hint
+LISTED_LEXICON = 10_000  # tokens that words are compared with inside their review
 VALENCE_UNITS = 1_000_000_000  # valences are summed as whole billionths: exact and order-free
 
 
@@ -57,18 +59,16 @@ def sentiment_label(compound: Column) -> Column:
     return F.when(compound >= LABEL_CUT, POSITIVE).when(compound <= -LABEL_CUT, NEGATIVE).otherwise(NEUTRAL)
 
 
-def _is_upper(word: Column) -> Column:
-    return (word == F.upper(word)) & (word != F.lower(word))
+def _is_upper(word: Column, lower: Column) -> Column:
+    return (word != lower) & (word == F.upper(word))  # most words fail the first test
 
 
 def _words(body: Column) -> Column:
     """Whitespace tokens; punctuation is cut from both ends of words that keep more than two characters."""
 
-    def bare(token: Column) -> Column:
-        cut = F.btrim(token, F.lit(PUNCTUATION))
-        return F.when(F.length(cut) > 2, cut).otherwise(token)
-
-    return F.transform(F.filter(F.split(body, r"\s+"), lambda w: w != ""), bare)
+    tokens = F.filter(F.split(body, r"\s+"), lambda w: w != "")
+    pairs = F.transform(tokens, lambda w: F.struct(w.alias("token"), F.btrim(w, F.lit(PUNCTUATION)).alias("cut")))
+    return F.transform(pairs, lambda p: F.when(F.length(p["cut"]) > 2, p["cut"]).otherwise(p["token"]))
 
 
 def _spelled_out(body: Column, emoji: dict[str, str]) -> Column:
@@ -131,28 +131,30 @@ def score_sentiment(
     negate_at = [F.lit(w) for w in negations if w not in valued]
 
     words, lowers = F.col("words"), F.col("lowers")
+    tokens = lexicon.select("token").where("token IS NOT NULL").distinct().limit(LISTED_LEXICON + 1).collect()
+    known = [F.lit(r["token"]) for r in tokens] if len(tokens) <= LISTED_LEXICON else None
+    places = F.transform(lowers, lambda w, i: i if known is None else F.when(_one_of(w, known), i))
     context = F.transform(
-        words,
-        lambda w, i: F.struct(
+        F.filter(places, lambda i: i.isNotNull()),
+        lambda i: F.struct(
             (i + 1).alias("at"),
-            F.lower(w).alias("token"),
-            _is_upper(w).alias("caps"),
-            F.get(words, i - 1).alias("w1"),
-            F.get(words, i - 2).alias("w2"),
-            F.get(words, i - 3).alias("w3"),
+            F.get(lowers, i).alias("token"),
+            F.get("capitals", i).alias("caps"),
+            *[F.get(words, i - k).alias(f"w{k}") for k in (1, 2, 3)],
+            *[F.get(lowers, i - k).alias(f"l{k}") for k in (1, 2, 3)],
             F.get(lowers, i + 1).alias("next_token"),
             F.get(lowers, i + 2).alias("after_next"),
         ),
     )
-    upper_count = F.size(F.filter(words, _is_upper))
     rows = (
         reviews.select(*carried, F.trim(_spelled_out(F.coalesce(F.col(text), F.lit("nan")), emoji or {})).alias("body"))
         .withColumn("words", _words(F.col("body")))
-        .withColumn("lowers", F.transform("words", F.lower))
+        .withColumn("lowers", F.transform("words", F.lower))  # folding case costs most of a word's time: done once
+        .withColumn("capitals", F.zip_with("words", "lowers", _is_upper))
         .select(
             *carried,
             (F.size("words") > 0).alias("readable"),
-            ((upper_count > 0) & (upper_count < F.size("words"))).alias("mixed_caps"),
+            (F.array_contains("capitals", True) & F.array_contains("capitals", False)).alias("mixed_caps"),
             F.array_position(lowers, "but").alias("but_at"),
             _emphasis(F.col("body")).alias("emphasis"),
             context.alias("context"),
@@ -162,9 +164,9 @@ def score_sentiment(
         .select(*carried, "readable", "mixed_caps", "but_at", "emphasis", "x.*")
     )
     values = lexicon.groupBy("token").agg(F.max(F.col("valence").cast("double")).alias("valence"))
-    hits = rows.join(sized(values), "token", "left")
-    # Words around a valued one are looked up too; around other words there is nothing to look up.
-    for name, word in {"next": F.col("next_token"), "w1": F.lower("w1"), "w2": F.lower("w2"), "w3": F.lower("w3")}.items():
+    hits = rows.join(sized(values), "token", "left").where(F.col("valence").isNotNull() | (F.coalesce("at", F.lit(1)) == 1))
+    # What is left are valued words and, so that no review is lost, first words. Words around valued ones are looked up too.
+    for name, word in {"next": F.col("next_token"), "w1": F.col("l1"), "w2": F.col("l2"), "w3": F.col("l3")}.items():
         flags = values.select(F.col("token").alias(f"{name}_key"), F.lit(True).alias(f"{name}_valued"))
         hits = hits.withColumn(f"{name}_key", F.when(F.col("valence").isNotNull(), word)).join(sized(flags), f"{name}_key", "left")
 
@@ -173,7 +175,7 @@ def score_sentiment(
         return F.col(f"w{place}").isNotNull() & F.col(f"w{place}_valued").isNull()
 
 
-    l1, l2, l3 = F.lower("w1"), F.lower("w2"), F.lower("w3")
+    l1, l2, l3 = F.col("l1"), F.col("l2"), F.col("l3")
     so_this = ["so", "this"]
     silent = F.col("token").isin(list(boosters)) | ((F.col("token") == "kind") & (F.col("next_token") == "of"))
     after_no = (l1 == "no") | (l2 == "no") | ((l3 == "no") & l1.isin("or", "nor"))
@@ -184,7 +186,7 @@ def score_sentiment(
     def boosted(valence: Column, raw: Column, word: Column, step: int) -> Column:
         amount = F.when(_one_of(word, boost_at), F.element_at(boost_table, word))
         shift = F.when(valence < 0, -amount).otherwise(amount) + F.when(
-            _is_upper(raw) & F.col("mixed_caps"), _signed(valence, F.lit(CAPS))
+            _is_upper(raw, word) & F.col("mixed_caps"), _signed(valence, F.lit(CAPS))
         ).otherwise(0.0)
         return valence + F.coalesce(shift, F.lit(0.0)) * BOOST_DAMPING[step]
 

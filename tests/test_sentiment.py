@@ -170,3 +170,21 @@ def test_random_sentences_follow_the_rules(spark):
     got = scores(spark, [" ".join(s) for s in sentences])
     wrong = [(s, got[i][0], walk(s)) for i, s in enumerate(sentences) if got[i][0] != pytest.approx(walk(s), abs=6e-5)]
     assert not wrong, wrong[:3]
+
+
+def test_words_without_valence_make_no_rows(spark):
+    """Case is folded once per word, and a review makes rows of its valued words only; a lexicon too long to list gives the same."""
+    reviews = spark.createDataFrame([(1, "plain words ONLY here"), (2, "a very good and not BAD thing"), (3, " ")], "review_id long, text string")
+    lexicon = spark.createDataFrame([("good", 1.9), ("bad", -2.5), (None, 1.0)], "token string, valence double")
+    out = S.score_sentiment(reviews, lexicon)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1
+    assert "good" in plan.split("Generate explode")[1]  # told apart inside the review
+
+
+def test_a_long_lexicon_scores_the_same(spark, monkeypatch):
+    reviews = spark.createDataFrame([(1, "plain words ONLY here"), (2, "a very good and not BAD thing"), (3, " ")], "review_id long, text string")
+    lexicon = spark.createDataFrame([("good", 1.9), ("bad", -2.5), (None, 1.0)], "token string, valence double")
+    want = sorted(map(tuple, S.score_sentiment(reviews, lexicon).collect()))
+    monkeypatch.setattr(S, "LISTED_LEXICON", 1)
+    assert sorted(map(tuple, S.score_sentiment(reviews, lexicon).collect())) == want and len(want) == 3
