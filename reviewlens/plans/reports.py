@@ -479,7 +479,7 @@ def top_reviews(reviews: DataFrame, per_label: dict[str, int] = REVIEWS_PER_LABE
     """The most extreme readable reviews of every (title, label), ranked.
 
     ``texts`` replaces the review text, e.g. by its first 200 characters, before rows are ranked, which keeps
-    long texts out of the sort.
+    long texts out of the sort. The reviews of a single label are dealt by title alone, where the title's other rows meet.
     """
     label = F.col("sentimento")
     quota = F.coalesce(*[F.when(label == name, F.lit(k)) for name, k in per_label.items()])
@@ -488,12 +488,12 @@ def top_reviews(reviews: DataFrame, per_label: dict[str, int] = REVIEWS_PER_LABE
     )
     ranked = top_per_group(
         picked,
-        ["title", "sentimento"],
+        ["title", "sentimento"] if len(per_label) > 1 else ["title"],
         [F.desc(F.abs("compound")), F.asc("review_id")],
         max(per_label.values()),
         "posicao",
     )
-    return ranked.where(F.col("posicao") <= quota)
+    return ranked.where(F.col("posicao") <= quota) if len(per_label) > 1 else ranked  # one label is cut at its own quota
 
 
 def reviews_for_book(reviews: DataFrame, title: str) -> DataFrame:

@@ -51,6 +51,24 @@ def test_top_k_is_cut_before_the_shuffle(spark):
         assert "Partial" in plan[shuffle:]
 
 
+def test_texts_of_a_report_move_once(spark):
+    """No text is shuffled again once the shown ones of a title and label are gathered."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = [x for x in plan_of(oracle.entry.queries()["ai_report"](spark, SF)).splitlines() if re.match(r"[ :]*[+:]- ", x)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    depth = [re.search(r"\w", x).start() for x in lines]
+    gathered = [i for i, x in enumerate(lines) if "collect_list" in x]
+    assert gathered
+    for i in gathered:
+        above, level = [], depth[i]
+        for j in range(i, -1, -1):
+            if depth[j] < level:
+                above, level = [*above, lines[j]], depth[j]
+        assert not any("Exchange" in x for x in above), above
+
+
 def test_sampling_moves_no_row(spark):
     docs = table(spark, SF, "documents")
     plan = plan_of(take_sample(docs, 10, ["doc_id"]))
