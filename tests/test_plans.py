@@ -69,6 +69,12 @@ def test_texts_of_a_report_move_once(spark):
         assert not any("Exchange" in x for x in above), above
 
 
+def test_a_text_is_cut_into_words_once_per_pass(spark):
+    plan = plan_of(oracle.entry.queries()["tfidf_vectors"](spark, SF))
+    assert "regexp_extract_all" in plan
+    assert max(line.count("regexp_extract_all") for line in plan.splitlines()) == 1
+
+
 def test_sampling_moves_no_row(spark):
     docs = table(spark, SF, "documents")
     plan = plan_of(take_sample(docs, 10, ["doc_id"]))
