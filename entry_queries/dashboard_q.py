@@ -10,7 +10,7 @@ from entry_queries.sql import BOOKS, TEXT_REVIEWS, rnd, with_
 from reviewlens.plans import dashboard as D
 from reviewlens.plans import reports as R
 from reviewlens.plans import summaries as S
-from reviewlens.sources.sample_tables import books, reviews
+from reviewlens.sources.sample_tables import books, review_keys, reviews
 
 
 def _over(sql: str) -> str:
@@ -172,7 +172,7 @@ insights AS (
 
 @query("ai_prompt", PROMPTS + " SELECT * FROM prompts")
 def ai_prompt(spark, sf):
-    return S.summary_prompts(reviews(spark, sf, text=True))
+    return S.prompts_by_key(**review_keys(spark, sf))
 
 
 @query("ai_recommendation", f"WITH {INSIGHTS} SELECT * FROM insights")

@@ -27,6 +27,7 @@ from reviewlens.functions.text import (
     preview,
     recency_band,
 )
+from reviewlens.operators.lookup import frequent_keys, having_key
 from reviewlens.operators.ranking import top_per_group
 from reviewlens.plans.metrics import (
     NEGATIVE,
@@ -457,8 +458,12 @@ def book_info(books: DataFrame, reviews: DataFrame, title: str) -> DataFrame:
     return one.orderBy("titulo", "autor", "categoria", "ano_publicacao").limit(1)
 
 
+def readable() -> Column:
+    return F.length(F.trim("text")) > 20
+
+
 def _readable(reviews: DataFrame) -> DataFrame:
-    return reviews.where(F.length(F.trim("text")) > 20)
+    return reviews.where(readable())
 
 
 def reviews_by_sentiment(reviews: DataFrame, title: str, label: str, limit: int = 10) -> DataFrame:
@@ -482,7 +487,6 @@ def top_reviews(reviews: DataFrame, per_label: dict[str, int] = REVIEWS_PER_LABE
     long texts out of the sort. The reviews of a single label are dealt by title alone, where the title's other rows meet.
     """
     label = F.col("sentimento")
-    quota = F.coalesce(*[F.when(label == name, F.lit(k)) for name, k in per_label.items()])
     picked = _readable(reviews.where(label.isin(*per_label) & F.col("title").isNotNull())).select(
         "title", "review_id", label, "compound", *(c.alias(n) for n, c in (texts or {"text": F.col("text")}).items())
     )
@@ -493,7 +497,34 @@ def top_reviews(reviews: DataFrame, per_label: dict[str, int] = REVIEWS_PER_LABE
         max(per_label.values()),
         "posicao",
     )
-    return ranked.where(F.col("posicao") <= quota) if len(per_label) > 1 else ranked  # one label is cut at its own quota
+    return ranked.where(F.col("posicao") <= quota(per_label)) if len(per_label) > 1 else ranked  # one label is cut at its own quota
+
+
+def quota(per_label: dict[str, int] = REVIEWS_PER_LABEL) -> Column:
+    return F.coalesce(*[F.when(F.col("sentimento") == name, F.lit(k)) for name, k in per_label.items()])
+
+
+def top_review_keys(
+    reviews: DataFrame, texts: DataFrame, review_id: Column, text_key: Column, per_label: dict[str, int] = REVIEWS_PER_LABEL
+) -> DataFrame:
+    """(item, sentimento, posicao, text_key): the reviews of :func:`top_reviews` by their keys alone.
+
+    Reviews are (item, sentimento, compound) and the columns that ``review_id`` and ``text_key`` are made of; texts are (text_key, text).
+    Reviews move once, before their ids are worded. Those of frequent items are cut in every task first.
+    """
+    picked = reviews.where(F.col("sentimento").isin(*per_label) & F.col("item").isNotNull())
+    hot = F.broadcast(frequent_keys(picked, "item"))
+    picked = having_key(picked, text_key, texts, "text_key", readable())
+    dealt = picked.join(hot, F.col("item") == F.col("_hot"), "left_anti").repartition("item")
+    popular = picked.join(hot, F.col("item") == F.col("_hot"), "left_semi")
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        keys = rows.select("item", "sentimento", "compound", review_id.alias("review_id"), text_key.alias("text_key"))
+        order = [F.desc(F.abs("compound")), F.asc("review_id")]
+        top = top_per_group(keys, ["item", "sentimento"], order, max(per_label.values()), "posicao")
+        return top.where(F.col("posicao") <= quota(per_label)).select("item", "sentimento", "posicao", "text_key")
+
+    return ranked(dealt).unionByName(ranked(popular))
 
 
 def reviews_for_book(reviews: DataFrame, title: str) -> DataFrame:

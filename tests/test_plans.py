@@ -69,6 +69,40 @@ def test_texts_of_a_report_move_once(spark):
         assert not any("Exchange" in x for x in above), above
 
 
+def test_prompts_are_ranked_by_key_and_only_shown_heads_move(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = [x for x in plan_of(oracle.entry.queries()["ai_prompt"](spark, SF)).splitlines() if re.match(r"[ :]*[+:]- ", x)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    depth = [re.search(r"\w", x).start() for x in lines]
+
+    def above(i):
+        found, level = [], depth[i]
+        for j in range(i, -1, -1):
+            if depth[j] < level:
+                found, level = [*found, lines[j]], depth[j]
+        return found
+
+    # Documents leave their scan as the first 200 characters or not at all.
+    scans = [i for i, x in enumerate(lines) if "FileScan" in x and re.search(r"[\[,]text#", x)]
+    assert scans
+    for i in scans:
+        shuffle = next(j for j, x in enumerate(above(i)) if "Exchange" in x)
+        assert any("substring(text" in x or "Aggregate" in x for x in above(i)[:shuffle]), above(i)
+    # Order lines move as numbers to be ranked, and as shown keys to their texts; the texts move once.
+    scans = [i for i, x in enumerate(lines) if "FileScan" in x and "l_orderkey#" in x]
+    assert scans
+    for i in scans:
+        path = above(i)
+        rank = next(j for j, x in enumerate(path) if "row_number" in x and "Window [" in x)
+        met = next(j for j, x in enumerate(path) if "SortMergeJoin [text_key" in x)
+        assert rank < met
+        assert sum("Exchange hash" in x for x in path[:rank]) == 1
+        assert sum("Exchange hash" in x for x in path[rank:met]) == 1
+        assert sum("Exchange hash" in x for x in path[met:]) == 1
+
+
 def test_a_text_is_cut_into_words_once_per_pass(spark):
     plan = plan_of(oracle.entry.queries()["tfidf_vectors"](spark, SF))
     assert "regexp_extract_all" in plan

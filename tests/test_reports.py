@@ -192,3 +192,52 @@ def test_recommendation_tiers(spark):
         "d": (S.REVIEW, "Alta"),
         "e": (S.MONITOR, "Baixa"),
     }
+
+
+def write_tables(folder, documents, part, lineitem):
+    import pyarrow.parquet as pq
+
+    def put(name, schema, rows):
+        names = [f.name for f in schema]
+        pq.write_table(pa.table({n: [r[i] for r in rows] for i, n in enumerate(names)}, schema=schema), folder / f"{name}.parquet")
+
+    put("documents", pa.schema([("doc_id", pa.int64()), ("text", pa.string())]), documents)
+    put("part", pa.schema([("p_partkey", pa.int64()), ("p_name", pa.string())]), part)
+    put("lineitem", pa.schema([*((f"l_{n}", pa.int64()) for n in ("orderkey", "partkey", "suppkey")), ("l_linenumber", pa.int32()),
+                               *((f"l_{n}", pa.float64()) for n in ("quantity", "discount", "tax")), ("l_returnflag", pa.string())]), lineitem)
+
+
+@pytest.mark.parametrize("words, per_task", [(1_000_000, 4_000_000), (0, 100)])
+def test_prompts_by_key_on_odd_tables(spark, tmp_path, monkeypatch, words, per_task):
+    """Items and texts listed twice, null or missing, and an item with most of the reviews."""
+    from reviewlens.operators import lookup
+
+    monkeypatch.setattr(lookup, "WORDS", words)
+    monkeypatch.setattr(S, "REVIEWS_PER_TASK", per_task)
+    texts = {0: None, 1: "", 2: "x" * 20, 3: "  " + "y" * 18 + "  ", 4: "é" * 500}
+    documents = [(i, texts.get(i, f"text number {i} that is long enough")) for i in range(150) if i % 13 != 5] + [(7, "text number 7 that is long enough")] * 2
+    part = [(i, f"item {i}") for i in range(-2, 40)] + [(3, "item 3"), (4, "another 4"), (5, None), (None, "no key")]
+    lineitem = [
+        (o, 1 if o % 3 else (None if o % 50 == 0 else o % 61 - 2), o % 7, o % 4, float(o % 50 + 1), (o % 11) / 100, (o % 9) / 100, "RAN"[o % 3 if o % 2 else 2])
+        for o in range(16_000)
+    ]
+    write_tables(tmp_path, documents, part, lineitem)
+    ok, message = oracle.compare(spark, oracle.duck(str(tmp_path)), "ai_prompt", str(tmp_path))
+    assert ok, message
+    (tmp_path / "none").mkdir()
+    write_tables(tmp_path / "none", [], part, lineitem)
+    assert oracle.entry.queries()["ai_prompt"](spark, str(tmp_path / "none")).count() == 0
+
+
+def test_keys_sent_as_bits(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from reviewlens.operators import lookup
+
+    keys = [-(2**62), -65, -64, -1, 0, 63, 64, 2**62, None]
+    table = spark.createDataFrame([(k, i % 2) for i, k in enumerate(keys)], "key long, odd int")
+    rows = spark.createDataFrame([(k,) for k in [*keys, 1, -2, 65, 65]], "k long")
+    for words in (1_000_000, 0):
+        monkeypatch.setattr(lookup, "WORDS", words)
+        got = lookup.having_key(rows, F.col("k"), table, "key", F.col("odd") == 0)
+        assert got.columns == ["k"]
+        assert sorted(r["k"] for r in got.collect()) == [-(2**62), -64, 0, 64]
