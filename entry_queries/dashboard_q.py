@@ -195,4 +195,4 @@ SELECT i.*, {', '.join(f"CASE WHEN prompt_{x} IS NULL THEN 'Nenhum review {x}s e
   CAST(NULL AS VARCHAR) AS summary
 FROM insights i LEFT JOIN wide ON titulo = title""")
 def ai_report(spark, sf):
-    return S.book_reports(books(spark, sf), reviews(spark, sf, text=True))
+    return S.reports_by_key(books(spark, sf), reviews(spark, sf), **review_keys(spark, sf))

@@ -69,10 +69,11 @@ def test_texts_of_a_report_move_once(spark):
         assert not any("Exchange" in x for x in above), above
 
 
-def test_prompts_are_ranked_by_key_and_only_shown_heads_move(spark):
+@pytest.mark.parametrize("name", ["ai_prompt", "ai_report"])
+def test_prompts_are_ranked_by_key_and_only_shown_heads_move(spark, name):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        lines = [x for x in plan_of(oracle.entry.queries()["ai_prompt"](spark, SF)).splitlines() if re.match(r"[ :]*[+:]- ", x)]
+        lines = [x for x in plan_of(oracle.entry.queries()[name](spark, SF)).splitlines() if re.match(r"[ :]*[+:]- ", x)]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     depth = [re.search(r"\w", x).start() for x in lines]
@@ -91,7 +92,7 @@ def test_prompts_are_ranked_by_key_and_only_shown_heads_move(spark):
         shuffle = next(j for j, x in enumerate(above(i)) if "Exchange" in x)
         assert any("substring(text" in x or "Aggregate" in x for x in above(i)[:shuffle]), above(i)
     # Order lines move as numbers to be ranked, and as shown keys to their texts; the texts move once.
-    scans = [i for i, x in enumerate(lines) if "FileScan" in x and "l_orderkey#" in x]
+    scans = [i for i, x in enumerate(lines) if "FileScan" in x and "l_orderkey#" in x]  # totals of titles need no order
     assert scans
     for i in scans:
         path = above(i)

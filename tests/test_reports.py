@@ -202,7 +202,7 @@ def write_tables(folder, documents, part, lineitem):
         pq.write_table(pa.table({n: [r[i] for r in rows] for i, n in enumerate(names)}, schema=schema), folder / f"{name}.parquet")
 
     put("documents", pa.schema([("doc_id", pa.int64()), ("text", pa.string())]), documents)
-    put("part", pa.schema([("p_partkey", pa.int64()), ("p_name", pa.string())]), part)
+    put("part", pa.schema([("p_partkey", pa.int64()), *((f"p_{n}", pa.string()) for n in ("name", "brand", "type")), ("p_size", pa.int32())]), [(*r, 1) for r in part])
     put("lineitem", pa.schema([*((f"l_{n}", pa.int64()) for n in ("orderkey", "partkey", "suppkey")), ("l_linenumber", pa.int32()),
                                *((f"l_{n}", pa.float64()) for n in ("quantity", "discount", "tax")), ("l_returnflag", pa.string())]), lineitem)
 
@@ -216,14 +216,15 @@ def test_prompts_by_key_on_odd_tables(spark, tmp_path, monkeypatch, words, per_t
     monkeypatch.setattr(S, "REVIEWS_PER_TASK", per_task)
     texts = {0: None, 1: "", 2: "x" * 20, 3: "  " + "y" * 18 + "  ", 4: "é" * 500}
     documents = [(i, texts.get(i, f"text number {i} that is long enough")) for i in range(150) if i % 13 != 5] + [(7, "text number 7 that is long enough")] * 2
-    part = [(i, f"item {i}") for i in range(-2, 40)] + [(3, "item 3"), (4, "another 4"), (5, None), (None, "no key")]
+    part = [(i, f"item {i}", "brand", "type") for i in range(-2, 40)] + [(3, "item 3", "B", "t"), (4, "another 4", "b", "t"), (5, None, "b", "t"), (None, "no key", "b", "t")]
     lineitem = [
         (o, 1 if o % 3 else (None if o % 50 == 0 else o % 61 - 2), o % 7, o % 4, float(o % 50 + 1), (o % 11) / 100, (o % 9) / 100, "RAN"[o % 3 if o % 2 else 2])
         for o in range(16_000)
     ]
     write_tables(tmp_path, documents, part, lineitem)
-    ok, message = oracle.compare(spark, oracle.duck(str(tmp_path)), "ai_prompt", str(tmp_path))
-    assert ok, message
+    for name in ("ai_prompt", "ai_report"):
+        ok, message = oracle.compare(spark, oracle.duck(str(tmp_path)), name, str(tmp_path))
+        assert ok, message
     (tmp_path / "none").mkdir()
     write_tables(tmp_path / "none", [], part, lineitem)
     assert oracle.entry.queries()["ai_prompt"](spark, str(tmp_path / "none")).count() == 0
